@@ -146,23 +146,25 @@ def rolling_hash(values: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * inverse[: len(values) - k + 1] + _U(k))
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Kinds of bytes: 0 stands between words.
+SPACED = np.ones(256, np.uint8)
+SPACED[[0x20, *range(0x09, 0x0E)]] = 0
 
 
 class Words:
-    """The words of a batch of texts: start and end in data, the document of each, and first[d]:first[d + 1] as its range."""
-
-    def __init__(self, data: np.ndarray, at: np.ndarray):
-        gap = np.ones(len(data) + 1, bool)
-        gap[:-1] = _SPACE[data]
-        first = ~gap[:-1]
-        first[1:] &= gap[:-2]
-        inner = at[(at > 0) & (at < len(data))]
-        cut = inner[~gap[inner] & ~gap[inner - 1]]  # a word that goes on in the next text ends at the border
-        first[cut] = True
-        last = ~gap[:-1] & gap[1:]
-        last[cut - 1] = True
+    """The words of a batch of texts: start and end in data, the document of each, and first[d]:first[d + 1] as its range.
+
+    A word is a run of bytes of one kind but 0 inside one text.
+    """
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, kinds: np.ndarray = SPACED):
+        kind = np.zeros(len(data) + 1, np.uint8)
+        kind[:-1] = kinds[data]
+        change = np.ones(len(data) + 1, bool)
+        change[1:] = kind[1:] != kind[:-1]
+        change[at] = True
+        first = change[:-1] & (kind[:-1] > 0)
+        last = change[1:] & (kind[:-1] > 0)
         self.data, self.at = data, at
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.first = np.searchsorted(self.start, at).astype(np.int64)
