@@ -180,19 +180,21 @@ def repeated_windows(pieces: list[bytes], left: np.ndarray, count: np.ndarray, g
     return owner, rel, times[of] >= 2, is_first
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = ANCHOR, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = ANCHOR, shard_pieces: int = SHARD_PIECES, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes each byte that a string of `window` bytes covers which also starts anywhere else in the texts.
 
     docs: (doc_id, text, ...). Returns doc_id, kept (binary, the bytes that stay), n_bytes, n_removed, n_spans for
     every row. The texts count as UTF-8 bytes, null as empty; no string crosses documents; strings are judged on the
     input. Texts shorter than the window keep everything. Of repeated rows each is a document of its own, so all their
-    windows are repeated. Other columns are ignored, a null doc_id is a document like others.
+    windows are repeated. A null doc_id is a document like others. Of the other columns those named in carry come with
+    the result, the rest are ignored.
     """
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     # rid tells rows apart but for full duplicates, which share all results. A collision of rids does no harm: what a
     # row gets is looked up by its own anchors and pieces.
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.xxhash64(F.lit(8), "doc_id", "text"))
+    others = F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"_{c}") for c in carry]).alias("others")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), others).withColumn("rid", F.xxhash64(F.lit(8), "doc_id", "text"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -213,7 +215,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = ANCHOR, sh
     touched = found.select("rid").distinct().join(asked, "rid", "left").withColumn("hit", F.lit(True))
     held = materialise(
         rows.join(touched, "rid", "left").select(
-            "doc_id", "rid", F.octet_length("text").cast("long").alias("n_bytes"), F.coalesce("hit", F.lit(False)).alias("hit"), "text", "asked"
+            "doc_id", "rid", F.octet_length("text").cast("long").alias("n_bytes"), F.coalesce("hit", F.lit(False)).alias("hit"), "text", "asked", "others"
         )
     )
 
@@ -333,12 +335,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = ANCHOR, sh
                     np.add.at(gone, s, 1)
                     np.add.at(gone, e, -1)
             covered = np.cumsum(gone[:-1]) > 0
-            yield _kept(b.column("doc_id"), data, at, covered)
+            yield _kept(b.column("doc_id"), data, at, covered).append_column("others", b.column("others"))
 
-    schema = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long"
-    rest = held.where("not hit").select("doc_id", F.encode("text", "utf-8").alias("kept"), "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
-    done = held.where("hit").select("rid", "doc_id", "text").join(mine, "rid", "left").select("doc_id", "text", "ranges").mapInArrow(remove, schema)
-    return rest.unionByName(done)
+    kinds = held.select("doc_id", F.encode("text", "utf-8").alias("kept"), *[F.col("n_bytes").alias(c) for c in ("n_bytes", "n_removed", "n_spans")], "others")
+    rest = held.where("not hit").select("doc_id", F.encode("text", "utf-8").alias("kept"), "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "others")
+    done = held.where("hit").select("rid", "doc_id", "text", "others").join(mine, "rid", "left").select("doc_id", "text", "ranges", "others").mapInArrow(remove, kinds.schema)
+    return rest.unionByName(done).select("doc_id", "kept", "n_bytes", "n_removed", "n_spans", *[F.col(f"others._{c}").alias(c) for c in carry])
 
 
 def _window_hash(pieces: list[bytes], owner: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
@@ -373,9 +375,27 @@ def _kept(doc_id: pa.Array, data: np.ndarray, at: np.ndarray, covered: np.ndarra
     )
 
 
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs with text (and n_chars, if there is one) as it is without repeated strings. Where a removed
+    string began or ended inside a character, the rest of that character goes too. Emptied documents stay."""
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    kept = remove_repeats(docs, window, carry=carry)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = pa.array([x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()], pa.string())
+            yield b.set_column(b.schema.get_field_index("kept"), "kept", text)
+
+    changed = kept.select("doc_id", "kept", *carry)
+    text = changed.mapInArrow(whole, changed.withColumn("kept", F.lit("")).schema).withColumnRenamed("kept", "text")
+    if "n_chars" in carry:
+        text = text.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return text.select(*docs.columns)
+
+
 def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """remove_repeats with the lower-case hex SHA-256 of the kept bytes in their place."""
     return remove_repeats(docs, window).withColumn("kept_sha256", F.sha2("kept", 256)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-__all__ = ["Anchors", "common_prefixes", "removal_digests", "remove_repeats", "repeated_windows", "suffix_array"]
+__all__ = ["Anchors", "common_prefixes", "removal_digests", "remove_repeats", "repeated_windows", "suffix_array", "without_repeats"]

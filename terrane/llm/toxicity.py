@@ -14,7 +14,7 @@ from .common import Words, slices, spans_hash, text_bytes
 from .learning import ROWS_PER_CLASS, Adam, held_out, sigmoid, training_rows
 
 #: Bits of a hashed term; terms that stay in the model at most, and training texts that must have one at least.
-TERM_BITS, TERMS, LEAST_TEXTS = 20, 4096, 5
+TERM_BITS, TERMS, LEAST_TEXTS = 20, 4096, 4
 FACTORS, EPOCHS = 8, 120
 
 _U = np.uint64
@@ -66,7 +66,7 @@ def fit_machine(doc: np.ndarray, term: np.ndarray, y: np.ndarray, row_weight: np
     positive = np.bincount(term, y[doc], 1 << TERM_BITS)
     share = y.mean() if n else 0.0
     z = np.abs(positive - held * share) / np.sqrt(np.maximum(held * share * (1 - share), 1e-9))
-    able = np.flatnonzero((held >= LEAST_TEXTS) & (z >= 4))
+    able = np.flatnonzero((held >= LEAST_TEXTS) & (z >= 3))
     able = np.sort(able[np.lexsort((able, -z[able]))][:TERMS])
     place = np.full(1 << TERM_BITS, -1, np.int32)
     place[able] = np.arange(len(able))
