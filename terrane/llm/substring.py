@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, materialise, shuffle_parts, slices, text_bytes
+from .common import Words, materialise, mix, shuffle_parts, slices, text_bytes
 
 WINDOW = 50
 
@@ -85,12 +85,45 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "kind", "hashes", "docs", "ids"])
 
 
-def _answers(doc: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-    """A row (doc_id, hits) for each document, hits as packed hashes."""
-    order = np.lexsort((h, doc))
-    doc, h = doc[order], h[order]
-    cut = [0, *(np.flatnonzero(doc[1:] != doc[:-1]) + 1).tolist(), len(doc)] if len(doc) else [0]
-    return pa.RecordBatch.from_arrays([pa.array(doc[np.array(cut[:-1], np.int64)]), pa.array([pack(h[a:b]) for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], ["doc_id", "hits"])
+#: Answers that a lookup task gathers before it sends them.
+_GATHER = 1 << 19
+
+
+def _answers(found: list[tuple[np.ndarray, np.ndarray]], parts: int) -> pa.RecordBatch:
+    """Rows (target, docs, hits) of (documents, hashes): one for each target, which is a hash range of documents."""
+    doc, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    target = mix(doc.view(_U)) % _U(parts)
+    order = np.argsort(target, kind="stable")
+    doc, h, target = doc[order], h[order], target[order]
+    cut = [0, *(np.flatnonzero(target[1:] != target[:-1]) + 1).tolist(), len(doc)]
+    rows = [(int(target[x]), doc[x:z].tobytes(), h[x:z].tobytes()) for x, z in zip(cut, cut[1:], strict=False)]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["target", "docs", "hits"])
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (doc_id, hits) for each document of a target, from the rows (target, docs, hits) in order of target."""
+    held: list[tuple[bytes, bytes]] = []
+    now = None
+
+    def close() -> Iterator[pa.RecordBatch]:
+        doc = np.frombuffer(b"".join(d for d, _ in held), np.int64)
+        h = np.frombuffer(b"".join(x for _, x in held), _U)
+        held.clear()
+        order = np.lexsort((h, doc))
+        doc, h = doc[order], h[order]
+        cut = [0, *(np.flatnonzero(doc[1:] != doc[:-1]) + 1).tolist(), len(doc)]
+        for low in range(0, len(cut) - 1, 1000):
+            some = cut[low : low + 1001]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[np.array(some[:-1])]), pa.array([pack(h[x:z]) for x, z in zip(some, some[1:], strict=False)], pa.binary())], ["doc_id", "hits"])
+
+    for b in batches:
+        for target, docs, hits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if target != now and held:
+                yield from close()
+            now = target
+            held.append((docs, hits))
+    if held:
+        yield from close()
 
 
 def _lookup(sent: DataFrame, parts: int, references: bool) -> DataFrame:
@@ -103,7 +136,7 @@ def _lookup(sent: DataFrame, parts: int, references: bool) -> DataFrame:
     dealt = sent.repartition(parts, "part").sortWithinPartitions("part", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, fresh = None, []
+        now, fresh, found = None, [], []
         h, least, used = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, bool)
 
         def index() -> None:
@@ -117,17 +150,22 @@ def _lookup(sent: DataFrame, parts: int, references: bool) -> DataFrame:
                 used = np.zeros(len(h), bool)
                 fresh.clear()
 
-        def close() -> Iterator[pa.RecordBatch]:
+        def close() -> None:
             nonlocal h, least, used
             if references and used.any():
-                yield _answers(least[used], h[used])
+                found.append((least[used], h[used]))
             h, least, used = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, bool)
             fresh.clear()
 
+        def send(most: int) -> Iterator[pa.RecordBatch]:
+            if found and sum(len(x) for x, _ in found) > most:
+                yield _answers(found, parts)
+                found.clear()
+
         for b in batches:
             for part, kind, hashes, docs, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if part != now:
-                    yield from close()
+                    close()
                     now = part
                 value, doc = unpack(hashes), unpack(ids).view(np.int64)[_read_small(docs)]
                 if not kind:
@@ -142,14 +180,17 @@ def _lookup(sent: DataFrame, parts: int, references: bool) -> DataFrame:
                 hit = (h[at] == value) & (least[at] < doc)
                 if hit.any():
                     used[at[hit]] = True
-                    yield _answers(doc[hit], value[hit])
-        yield from close()
+                    found.append((doc[hit], value[hit]))
+                    yield from send(_GATHER)
+        close()
+        yield from send(0)
 
-    return dealt.mapInArrow(run, "doc_id long, hits binary").groupBy("doc_id").agg(F.collect_list("hits").alias("hits"))
+    answers = dealt.mapInArrow(run, "target int, docs binary, hits binary")
+    return answers.repartition(parts, "target").sortWithinPartitions("target").mapInArrow(_by_document, "doc_id long, hits binary")
 
 
-def _hits(lists: pa.Array) -> np.ndarray:
-    found = [unpack(x) for x in lists.flatten().to_pylist()]
+def _hits(packed: pa.Array) -> np.ndarray:
+    found = [unpack(x) for x in packed.to_pylist() if x is not None]
     return np.unique(np.concatenate(found)) if found else np.zeros(0, _U)
 
 
@@ -204,7 +245,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield _batch(out)
 
     gone = _lookup(held.where("hits is not null").mapInArrow(extend, _SENT), parts, references=False)
-    rest = held.where("hits is null").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("gone"))
+    rest = held.where("hits is null").select("doc_id", "text", F.lit(None).cast("binary").alias("gone"))
     done = held.where("hits is not null").select("doc_id", "text").join(gone.withColumnRenamed("hits", "gone"), "doc_id", "left")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,9 +255,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             lists = b.column(2)
             if lists.null_count < b.num_rows:
                 h, at = w.grams(window)
-                doc = np.repeat(np.arange(b.num_rows), np.asarray(lists.value_lengths().fill_null(0)))
                 h >>= _U(2)
-                for d in np.unique(doc).tolist():  # of one text after the other: a window can be right in one only
+                for d in np.flatnonzero(np.asarray(lists.is_valid())).tolist():  # of one text after the other: a window can be right in one only
                     mine = slice(*np.searchsorted(at, w.first[d : d + 2]).tolist())
                     start = at[mine][np.isin(h[mine], _hits(lists.slice(d, 1)))]
                     np.add.at(cover, start, 1)
