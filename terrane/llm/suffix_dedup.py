@@ -26,6 +26,8 @@ from .common import _BYTE, materialise, mix, prefix, shuffle_parts, signed, slic
 
 WINDOW, ANCHOR = 200, 48
 SHARD_PIECES = 8192
+#: Pieces that go into one suffix array at least, if there are as many: larger arrays leave the caches.
+TOGETHER = 1024
 
 _U = np.uint64
 _REST = _U(0xFFFFFFFFFF000000)
@@ -93,7 +95,7 @@ def suffix_array(text: np.ndarray, piece: np.ndarray, end: np.ndarray) -> np.nda
     where = np.arange(n)
     for k in range(depth):
         key = (key << 9) | np.where(where + k < end, sym[k : n + k], 0)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # any order inside groups: they are refined
     key = key[order]
     new = np.r_[True, key[1:] != key[:-1]]
     rank = np.empty(n, np.int64)
@@ -109,7 +111,7 @@ def suffix_array(text: np.ndarray, piece: np.ndarray, end: np.ndarray) -> np.nda
         ahead = at + depth
         follow = np.where(ahead < end[at], rank[np.minimum(ahead, n - 1)], piece[at] - pieces) + pieces
         group = rank[at]
-        again = np.argsort(group * np.int64(n + pieces + 1) + follow, kind="stable")
+        again = np.argsort(group * np.int64(n + pieces + 1) + follow)
         at, follow, group = at[again], follow[again], group[again]
         order[slot] = at
         fresh = np.r_[True, (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])]
@@ -204,7 +206,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = ANCHOR, sh
             _, first, n = np.unique(_both(a.anchor, a.piece, a.doc), return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(a.doc[first])), pa.array(signed(a.anchor[first])), pa.array(signed(a.piece[first])), pa.array(n.astype(np.int32))], ["rid", "anchor", "piece", "n"])
 
-    found = rows.select("rid", "text").mapInArrow(anchors, "rid long, anchor long, piece long, n int")
+    # Written, as it is read twice: to count anchors and to keep the frequent ones.
+    found = materialise(rows.select("rid", "text").mapInArrow(anchors, "rid long, anchor long, piece long, n int"))
     often = found.groupBy("anchor").agg(F.sum("n").alias("total")).where("total >= 2").select("anchor")
     found = materialise(found.join(often, "anchor").select("rid", "anchor", "piece", "n"))
 
@@ -259,14 +262,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = ANCHOR, sh
             np.minimum.at(low, owner[twice], rel[twice])
             np.maximum.at(high, owner[twice], rel[twice])
             some = np.flatnonzero(low <= 0)
-            none = np.zeros(len(some), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[some]), pa.array(piece[some]), pa.array(low[some]), pa.array(high[some] + window), pa.array(none), pa.array(none == 0)], ["anchor", "piece", "low", "high", "key", "done"])
+            yield _solved(anchor[some], piece[some], low[some], high[some] + window)
             open_ = np.flatnonzero(split[owner] & (first | ~twice))
-            for i in range(0, len(open_), 1 << 18):  # windows of shards in several parts go on to the merge
-                at = open_[i : i + (1 << 18)]
-                h = _window_hash(bytes_, owner[at], rel[at] + left[owner[at]], window)
-                key = mix(h ^ (anchor[owner[at]].view(_U) + rel[at].astype(np.int64).view(_U) * _U(0x9E3779B97F4A7C15)))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[owner[at]]), pa.array(piece[owner[at]]), pa.array(rel[at]), pa.array(rel[at] + window), pa.array(signed(key)), pa.array(np.zeros(len(at), bool))], ["anchor", "piece", "low", "high", "key", "done"])
+            if len(open_):  # windows of shards in several parts go on to the merge
+                h = _window_hash(bytes_, owner[open_], rel[open_] + left[owner[open_]], window)
+                key = mix(h ^ (anchor[owner[open_]].view(_U) + rel[open_].astype(np.int64).view(_U) * _U(0x9E3779B97F4A7C15)))
+                yield _to_merge(key, anchor[owner[open_]], piece[owner[open_]], rel[open_], parts)
 
         held_, n, now = [], 0, None
         for b in batches:
@@ -275,7 +276,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = ANCHOR, sh
             cuts = [0, *border.tolist()] if now is not None and b.num_rows and (anchor[0], part[0]) != now else border.tolist()
             begin = 0
             for c in cuts:
-                if n + c - begin >= shard_pieces // 2:
+                if n + c - begin >= TOGETHER:
                     if c > begin:
                         held_.append(b.slice(begin, c - begin))
                     if held_:
@@ -289,27 +290,26 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = ANCHOR, sh
         if held_:
             yield from solve(held_)
 
-    solved = materialise(sent.mapInArrow(search, "anchor long, piece long, low long, high long, key long, done boolean"))
-    waiting = solved.where("not done").select("anchor", "piece", "low", "high", "key")
-    waiting = waiting.repartition(parts, "key").sortWithinPartitions("key")
+    solved = materialise(sent.mapInArrow(search, "anchor long, piece long, low long, high long, target int, keys binary, rows binary"))
+    waiting = solved.where("target is not null").select("target", "keys", "rows")
+    waiting = waiting.repartition(parts, "target").sortWithinPartitions("target")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        held: list[tuple[bytes, bytes]] = []
+        now = None
         for b in batches:
-            t = pa.Table.from_batches(([] if rest is None else [rest]) + [b]).combine_chunks().to_batches()
-            if not t:
-                continue
-            t = t[0]
-            key = t.column("key").to_numpy()
-            tail = int(np.searchsorted(key, key[-1], side="left"))  # the last key may go on in the next batch
-            rest = t.slice(tail)
-            yield _equal_runs(t.slice(0, tail))
-        if rest is not None:
-            yield _equal_runs(rest)
+            for target, keys, rows_ in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if target != now and held:
+                    yield _merged(held, window)
+                    held = []
+                now = target
+                held.append((keys, rows_))
+        if held:
+            yield _merged(held, window)
 
     merged = waiting.mapInArrow(merge, "anchor long, piece long, low long, high long")
     full = pieces.where("n >= 2").select("anchor", "piece", F.lit(-window).cast("long").alias("low"), F.lit(window).cast("long").alias("high"))
-    ranges = solved.where("done").select("anchor", "piece", "low", "high").unionByName(merged).unionByName(full)
+    ranges = solved.where("target is null").select("anchor", "piece", "low", "high").unionByName(merged).unionByName(full)
     ranges = ranges.groupBy("anchor", "piece").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     mine = found.select("rid", "anchor", "piece").distinct().join(ranges, ["anchor", "piece"])
     mine = mine.groupBy("rid").agg(F.collect_list(F.struct("anchor", "piece", "low", "high")).alias("ranges"))
@@ -352,11 +352,43 @@ def _window_hash(pieces: list[bytes], owner: np.ndarray, start: np.ndarray, wind
     return mix((sums[begin + window] - sums[begin]) * inverse[begin])
 
 
-def _equal_runs(t: pa.RecordBatch) -> pa.RecordBatch:
-    """The rows, sorted by key, whose key another row has too."""
-    key = t.column("key").to_numpy()
+_SOLVED = ["anchor", "piece", "low", "high", "target", "keys", "rows"]
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+_ROW = np.dtype([("anchor", np.int64), ("piece", np.int64), ("rel", np.int16)])
+
+
+def _solved(anchor: np.ndarray, piece: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+    empty = [pa.nulls(len(anchor), k) for k in _KINDS[4:]]
+    return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(piece), pa.array(low), pa.array(high), *empty], _SOLVED)
+
+
+def _to_merge(key: np.ndarray, anchor: np.ndarray, piece: np.ndarray, rel: np.ndarray, targets: int) -> pa.RecordBatch:
+    """Open windows as one row for each hash range of their keys: sorted keys, and what they belong to."""
+    order = np.argsort(key)
+    rows = np.empty(len(key), _ROW)
+    rows["anchor"], rows["piece"], rows["rel"] = anchor, piece, rel
+    key, rows = key[order], rows[order]
+    target = (key >> _U(32)) * _U(targets) >> _U(32)
+    cut = [0, *(np.flatnonzero(target[1:] != target[:-1]) + 1).tolist(), len(key)]
+    ranges = list(zip(cut, cut[1:], strict=False))
+    empty = [pa.nulls(len(ranges), k) for k in _KINDS[:4]]
+    return pa.RecordBatch.from_arrays([*empty, pa.array(target[cut[:-1]].astype(np.int32)), pa.array([key[a:z].tobytes() for a, z in ranges], pa.binary()), pa.array([rows[a:z].tobytes() for a, z in ranges], pa.binary())], _SOLVED)
+
+
+def _merged(held: list[tuple[bytes, bytes]], window: int) -> pa.RecordBatch:
+    """The ranges of pieces from their open windows that another part has too: those whose key stands twice."""
+    key = np.frombuffer(b"".join(k for k, _ in held), _U)
+    rows = np.frombuffer(b"".join(r for _, r in held), _ROW)
+    order = np.argsort(key)
+    key, rows = key[order], rows[order]
     many = np.searchsorted(key, key, side="right") - np.searchsorted(key, key, side="left") > 1
-    return t.filter(pa.array(many)).select(["anchor", "piece", "low", "high"])
+    rows = rows[many]
+    both = mix(np.ascontiguousarray(rows["anchor"]).view(_U)) ^ np.ascontiguousarray(rows["piece"]).view(_U)
+    order = np.lexsort((rows["rel"], both))
+    rows, both = rows[order], both[order]
+    first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, np.int64)
+    last = np.r_[first[1:], len(both)] - 1 if len(both) else first
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[k][first])) for k in ("anchor", "piece")] + [pa.array(rows["rel"][first].astype(np.int64)), pa.array(rows["rel"][last].astype(np.int64) + window)], ["anchor", "piece", "low", "high"])
 
 
 def _kept(doc_id: pa.Array, data: np.ndarray, at: np.ndarray, covered: np.ndarray) -> pa.RecordBatch:
