@@ -90,38 +90,43 @@ def suffix_array(text: np.ndarray, piece: np.ndarray, end: np.ndarray) -> np.nda
     """
     n, depth = len(text), 7
     sym = np.zeros(n + depth, np.int64)
-    sym[:n] = text.astype(np.int64) + 1
+    sym[:n] = text
+    sym[:n] += 1
+    left = end - np.arange(n)
     key = np.zeros(n, np.int64)
-    where = np.arange(n)
     for k in range(depth):
-        key = (key << 9) | np.where(where + k < end, sym[k : n + k], 0)
+        key <<= 9
+        key += sym[k : n + k] * (left > k)
     order = np.argsort(key)  # any order inside groups: they are refined
     key = key[order]
     new = np.r_[True, key[1:] != key[:-1]]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
     pieces = int(piece[-1]) + 1 if n else 0
+    # Behind its piece's end a suffix has the piece's own symbol, below all ranks.
+    rank, behind = np.zeros(n + depth, np.int64), piece
+    rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1] + pieces
     while True:
         # A group is unsorted if its rank is not only its first place's.
-        alone = new & np.r_[new[1:], True]
-        slot = np.flatnonzero(~alone)
+        slot = np.flatnonzero(~(new & np.r_[new[1:], True]))
         if not len(slot):
             return order
+        if depth > len(rank) - n:
+            rank = np.r_[rank[:n], np.zeros(depth, np.int64)]
+        key = rank[:n] * np.int64(n + pieces)
+        key += np.where(left > depth, rank[depth : n + depth], behind)
         at = order[slot]
-        ahead = at + depth
-        follow = np.where(ahead < end[at], rank[np.minimum(ahead, n - 1)], piece[at] - pieces) + pieces
-        group = rank[at]
-        again = np.argsort(group * np.int64(n + pieces + 1) + follow)
-        at, follow, group = at[again], follow[again], group[again]
+        value = key[at]
+        again = np.argsort(value)
+        at, value = at[again], value[again]
         order[slot] = at
-        fresh = np.r_[True, (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])]
+        fresh = np.r_[True, value[1:] != value[:-1]]
         new[slot] = fresh
-        rank[at] = slot[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+        rank[at] = slot[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]] + pieces
         depth *= 2
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, start: np.ndarray, end: np.ndarray, most: int) -> np.ndarray:
-    """For each position the length, at most `most`, of what its suffix shares with the one before it in order.
+    """For each position with `most` bytes to the end of its piece the length, at most `most`, of what its suffix shares with
+    the one before it in order; 0 for other positions.
 
     Kasai: from one position to the next the shared length falls by one at most. All pieces are walked at the same
     time, one comparison of each per step. start, end: of each piece.
@@ -131,25 +136,28 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, start: np.ndarray, end:
     before[order[1:]] = order[:-1]
     stop = np.repeat(end, end - start)
     shared = np.zeros(n, np.int64)
-    i, h = start.copy(), np.zeros(len(start), np.int64)
-    last = end
-    live = np.flatnonzero(i < last)
-    i, h, last = i[live], h[live], last[live]
+    last = end - most + 1
+    live = np.flatnonzero(start < last)
+    i, last, own = start[live], last[live], end[live]
+    h = np.zeros(len(i), np.int64)
+    j = before[i]
+    limit = np.minimum(np.minimum(own - i, most), np.where(j >= 0, stop[j] - j, 0))
     while len(i):
-        j = before[i]
-        a, b = i + h, j + h
-        go = (j >= 0) & (h < most) & (a < last)
-        go &= b < np.where(j >= 0, stop[j], 0)
-        go[go] = text[a[go]] == text[b[go]]
-        h[go] += 1
-        halt = ~go
+        go = h < limit
+        go[go] = text[i[go] + h[go]] == text[j[go] + h[go]]
+        h += go
+        halt = np.flatnonzero(~go)
         at = i[halt]
         shared[at] = h[halt]
         h[halt] = np.maximum(h[halt] - 1, 0)
-        i[halt] += 1
-        if (i >= last).any():
+        at += 1
+        i[halt] = at
+        nbr = before[at]
+        j[halt] = nbr
+        limit[halt] = np.minimum(np.minimum(own[halt] - at, most), np.where(nbr >= 0, stop[nbr] - nbr, 0))
+        if (at >= last[halt]).any():
             keep = i < last
-            i, h, last = i[keep], h[keep], last[keep]
+            i, h, j, limit, last, own = i[keep], h[keep], j[keep], limit[keep], last[keep], own[keep]
     return shared
 
 
@@ -182,14 +190,15 @@ def repeated_windows(pieces: list[bytes], left: np.ndarray, count: np.ndarray, g
     return owner, rel, times[of] >= 2, is_first
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = ANCHOR, shard_pieces: int = SHARD_PIECES, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = ANCHOR, shard_pieces: int = SHARD_PIECES, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """Removes each byte that a string of `window` bytes covers which also starts anywhere else in the texts.
 
     docs: (doc_id, text, ...). Returns doc_id, kept (binary, the bytes that stay), n_bytes, n_removed, n_spans for
     every row. The texts count as UTF-8 bytes, null as empty; no string crosses documents; strings are judged on the
     input. Texts shorter than the window keep everything. Of repeated rows each is a document of its own, so all their
     windows are repeated. A null doc_id is a document like others. Of the other columns those named in carry come with
-    the result, the rest are ignored.
+    the result, the rest are ignored. as_text: kept is a string; where a removed string began or ended inside a character,
+    the rest of that character goes too.
     """
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
@@ -335,10 +344,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = ANCHOR, sh
                     np.add.at(gone, s, 1)
                     np.add.at(gone, e, -1)
             covered = np.cumsum(gone[:-1]) > 0
-            yield _kept(b.column("doc_id"), data, at, covered).append_column("others", b.column("others"))
-
-    kinds = held.select("doc_id", F.encode("text", "utf-8").alias("kept"), *[F.col("n_bytes").alias(c) for c in ("n_bytes", "n_removed", "n_spans")], "others")
-    rest = held.where("not hit").select("doc_id", F.encode("text", "utf-8").alias("kept"), "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "others")
+            out = _kept(b.column("doc_id"), data, at, covered).append_column("others", b.column("others"))
+            if as_text:
+                out = out.set_column(1, "kept", pa.array([x.decode("utf-8", "ignore") for x in out.column(1).to_pylist()], pa.string()))
+            yield out
+
+    whole = F.col("text") if as_text else F.encode("text", "utf-8")
+    kinds = held.select("doc_id", whole.alias("kept"), *[F.col("n_bytes").alias(c) for c in ("n_bytes", "n_removed", "n_spans")], "others")
+    rest = held.where("not hit").select("doc_id", whole.alias("kept"), "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "others")
     done = held.where("hit").select("rid", "doc_id", "text", "others").join(mine, "rid", "left").select("doc_id", "text", "ranges", "others").mapInArrow(remove, kinds.schema)
     return rest.unionByName(done).select("doc_id", "kept", "n_bytes", "n_removed", "n_spans", *[F.col(f"others._{c}").alias(c) for c in carry])
 
@@ -408,18 +421,10 @@ def _kept(doc_id: pa.Array, data: np.ndarray, at: np.ndarray, covered: np.ndarra
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs with text (and n_chars, if there is one) as it is without repeated strings. Where a removed
-    string began or ended inside a character, the rest of that character goes too. Emptied documents stay."""
+    """The rows of docs with text (and n_chars, if there is one) as it is without repeated strings; see remove_repeats.
+    Emptied documents stay."""
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    kept = remove_repeats(docs, window, carry=carry)
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text = pa.array([x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()], pa.string())
-            yield b.set_column(b.schema.get_field_index("kept"), "kept", text)
-
-    changed = kept.select("doc_id", "kept", *carry)
-    text = changed.mapInArrow(whole, changed.withColumn("kept", F.lit("")).schema).withColumnRenamed("kept", "text")
+    text = remove_repeats(docs, window, carry=carry, as_text=True).withColumnRenamed("kept", "text")
     if "n_chars" in carry:
         text = text.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return text.select(*docs.columns)
