@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that one vectorised step takes at most, unless one text is longer.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 _U = np.uint64
 #: Odd multiplier of the polynomial hashes, and its inverse modulo 2**64.
@@ -63,6 +65,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = STEP_BYTE
             stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    release()
+
+
+def release() -> None:
+    """Gives memory that a finished task no longer needs back to the system: workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not the GNU C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def _offsets(array: pa.Array) -> tuple[np.ndarray, pa.Buffer | None]:
