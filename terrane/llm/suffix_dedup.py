@@ -3,8 +3,8 @@
 1. Anchors. Every window of WINDOW bytes picks the gram of ANCHOR bytes with the least hash inside it, the rightmost
    of equals. Two equal windows pick the same gram at the same offset, so equal windows meet at equal anchors.
    Anchors that occur once in the corpus (counted with map-side sums) need no further work.
-2. Pieces. The piece of an anchor is all that windows with this anchor can cover: at most 2 * WINDOW - ANCHOR bytes.
-   Equal pieces of one anchor are one piece with a count; only one representative's bytes travel.
+2. Pieces. The piece of an anchor is what the windows that pick it cover: at most 2 * WINDOW - ANCHOR bytes, fewer on
+   average, and each window is in one piece only. Equal pieces of one anchor are one piece with a count; only one representative's bytes travel.
 3. Shards. The pieces of an anchor form a shard, in parts of at most SHARD_PIECES pieces if there are more. Each part
    gets a suffix array by Larsson-Sadakane refinement and common prefixes by Kasai's method; windows whose first
    WINDOW bytes equal those of a neighbour, at the same offset from the anchor, are repeated.
@@ -52,26 +52,33 @@ class Anchors:
     def __init__(self, data: np.ndarray, at: np.ndarray, window: int = WINDOW, gram: int = ANCHOR):
         reach = window - gram
         sums, inverse = prefix(_BYTE[data])
-        chosen = np.zeros(len(data), bool)
         n = len(data)
-        starts_ok = np.zeros(n + 1, np.int8)  # windows inside one text
         size = np.diff(at)
         long = size >= window
-        np.add.at(starts_ok, at[:-1][long], 1)
-        np.add.at(starts_ok, at[1:][long] - window + 1, -1)
-        inside = np.cumsum(starts_ok[:n], dtype=np.int8).astype(bool)
+        step = np.zeros(n + 1, np.int8)
+        np.add.at(step, at[:-1][long], 1)
+        np.add.at(step, at[1:][long] - window + 1, -1)
+        inside = np.cumsum(step[:n], dtype=np.int8).astype(bool)  # where a window of one text starts
+        parts = []
         for low in range(0, max(n - window + 1, 0), _CHUNK):
             high = min(low + _CHUNK, n - window + 1)  # windows that start in [low, high)
-            i = np.arange(low, high + reach)
-            h = mix((sums[i + gram] - sums[i]) * inverse[i] + _U(gram))
-            key = (h & _REST) | (_U(high + reach) - i.astype(_U))
-            least = _least(key, reach + 1)[inside[low:high]]
-            chosen[(high + reach) - (least & ~_REST).astype(np.int64)] = True
-        self.pos = p = np.flatnonzero(chosen)
+            h = mix((sums[low + gram : high + window] - sums[low : high + reach]) * inverse[low : high + reach] + _U(gram))
+            h &= _REST
+            h |= np.arange(high + reach - low, 0, -1).astype(_U)
+            w = np.flatnonzero(inside[low:high])
+            pick = (high + reach) - (_least(h, reach + 1)[w] & ~_REST).astype(np.int64)
+            w += low
+            first = np.flatnonzero(np.r_[True, pick[1:] != pick[:-1]]) if len(pick) else w
+            last = np.r_[first[1:], len(pick)] - 1 if len(pick) else w
+            parts.append((pick[first], w[first], w[last]))
+        p, begin, final = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
+        new = np.r_[True, p[1:] != p[:-1]] if len(p) else np.zeros(0, bool)  # an anchor of two chunks
+        first = np.flatnonzero(new)
+        self.pos = p = p[first]
         self.doc = np.searchsorted(at, p, side="right") - 1
         self.anchor = mix((sums[p + gram] - sums[p]) * inverse[p] + _U(gram))
-        self.start = np.maximum(p - reach, at[self.doc])
-        self.end = np.minimum(p + window, at[self.doc + 1])
+        self.start = begin[first]
+        self.end = final[np.r_[first[1:], len(new)] - 1] + window if len(first) else self.start
         left, size = (p - self.start).astype(_U), (self.end - self.start).astype(_U)
         self.piece = mix((sums[self.end] - sums[self.start]) * inverse[self.start] + size * _U(0x9E3779B97F4A7C15) + left * _U(0xC2B2AE3D27D4EB4F))
 
