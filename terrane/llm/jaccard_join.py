@@ -331,6 +331,6 @@ def one_of_each(docs: DataFrame, words: int = WORDS, least: float = LEAST, recal
     found = similar_documents(docs, words, least, recall)
     best = found.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "rid")).alias("b"))
     stay = best.select(F.col("b.rid").alias("_rid"), F.lit(True).alias("_one")).unionByName(found.where("component is null").select(F.col("rid").alias("_rid"), F.lit(False).alias("_one"))).distinct()
-    rows = docs.withColumn("_rid", F.xxhash64(F.lit(9), "doc_id", F.coalesce("text", F.lit("")))).join(stay, "_rid")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.lit(9), "doc_id", F.coalesce("text", F.lit(""))).alias("_rid")).join(stay, "_rid")
     # Of a full duplicate one row stays.
-    return rows.where("not _one").unionByName(rows.where("_one").dropDuplicates(["_rid"])).select(*docs.columns)
+    return rows.where("not _one").unionByName(rows.where("_one").dropDuplicates(["_rid"])).select("row.*")

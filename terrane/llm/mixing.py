@@ -103,5 +103,6 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repea
     plan = mix(docs, weights, repeat_limit)
     plan = plan.select(F.col("h").alias("_h"), F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies")).cast("int").alias("_copies")).where("_copies > 0")
     plan = plan.groupBy("_h").agg(F.max("_copies").alias("_copies"))
-    kept = docs.withColumn("_h", F.xxhash64(F.lit(7), "doc_id", "text")).join(plan, "_h")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    # The whole row travels as a struct, so no column of docs can clash with those added here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.lit(7), "doc_id", "text").alias("_h"))
+    return rows.join(plan, "_h").select("row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("row.*")

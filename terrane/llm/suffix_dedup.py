@@ -204,14 +204,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = ANCHOR, sh
     every row. The texts count as UTF-8 bytes, null as empty; no string crosses documents; strings are judged on the
     input. Texts shorter than the window keep everything. Of repeated rows each is a document of its own, so all their
     windows are repeated. A null doc_id is a document like others. Of the other columns those named in carry come with
-    the result, the rest are ignored. as_text: kept is a string; where a removed string began or ended inside a character,
+    the result as a struct `others` (each with _ before its name), the rest are ignored. as_text: kept is a string; where a removed string began or ended inside a character,
     the rest of that character goes too.
     """
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     # rid tells rows apart but for full duplicates, which share all results. A collision of rids does no harm: what a
     # row gets is looked up by its own anchors and pieces.
-    others = F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"_{c}") for c in carry]).alias("others")
+    others = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"_{c}") for c in carry]).alias("others")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), others).withColumn("rid", F.xxhash64(F.lit(8), "doc_id", "text"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,7 +360,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = ANCHOR, sh
     kinds = held.select("doc_id", whole.alias("kept"), *[F.col("n_bytes").alias(c) for c in ("n_bytes", "n_removed", "n_spans")], "others")
     rest = held.where("not hit").select("doc_id", whole.alias("kept"), "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "others")
     done = held.where("hit").select("rid", "doc_id", "text", "others").join(mine, "rid", "left").select("doc_id", "text", "ranges", "others").mapInArrow(remove, kinds.schema)
-    return rest.unionByName(done).select("doc_id", "kept", "n_bytes", "n_removed", "n_spans", *[F.col(f"others._{c}").alias(c) for c in carry])
+    out = rest.unionByName(done)
+    return out if carry else out.drop("others")
 
 
 def _window_hash(pieces: list[bytes], owner: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
@@ -431,10 +432,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs with text (and n_chars, if there is one) as it is without repeated strings; see remove_repeats.
     Emptied documents stay."""
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    text = remove_repeats(docs, window, carry=carry, as_text=True).withColumnRenamed("kept", "text")
-    if "n_chars" in carry:
-        text = text.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return text.select(*docs.columns)
+    out = remove_repeats(docs, window, carry=carry, as_text=True)
+    size = {"n_chars": F.char_length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in carry else {}
+    back = {"doc_id": F.col("doc_id"), "text": F.col("kept")} | {c: F.col(f"others.`_{c}`") for c in carry} | size
+    return out.select(*[back[c].alias(c) for c in docs.columns])
 
 
 def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
