@@ -7,7 +7,8 @@ from statistics import NormalDist
 
 import numpy as np
 
-lgamma = np.vectorize(math.lgamma, otypes=[float])
+def lgamma(x) -> np.ndarray:
+    return np.vectorize(math.lgamma, otypes=[float])(x)
 
 
 def _shifted(x, step, start):

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 _own: list[str] = []
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def materialise(df: DataFrame) -> DataFrame:
     """df written below spark.checkpoint.dir (a temporary folder if that is unset, as in tests) and read back."""
@@ -23,7 +25,13 @@ def materialise(df: DataFrame) -> DataFrame:
             _own.append(tempfile.mkdtemp(prefix="terrane-"))
         root = _own[0]
     path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # The shuffles behind a written table are of no more use: their files go when it is written.
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
