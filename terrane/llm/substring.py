@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import Words, materialise, mix, shuffle_parts, slices, text_bytes
 
 WINDOW = 50
+#: Bytes of text whose hashes are packed together: more take fewer bytes for each hash.
+TOGETHER = 4 << 20
 
 _U = np.uint64
 
@@ -89,50 +91,60 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 _GATHER = 1 << 19
 
 
-def _answers(found: list[tuple[np.ndarray, np.ndarray]], parts: int) -> pa.RecordBatch:
-    """Rows (target, docs, hits) of (documents, hashes): one for each target, which is a hash range of documents."""
+def _answers(found: list[tuple[np.ndarray, np.ndarray]], parts: int, width: int) -> pa.RecordBatch:
+    """Rows (target, docs, counts, hits) of (documents, hashes), one for each target, which is a hash range of documents: each
+    document once with its number of hashes, and the hashes' low `width` bytes."""
     doc, h = (np.concatenate(x) for x in zip(*found, strict=True))
     target = mix(doc.view(_U)) % _U(parts)
-    order = np.argsort(target, kind="stable")
+    order = np.lexsort((h, doc, target))
     doc, h, target = doc[order], h[order], target[order]
-    cut = [0, *(np.flatnonzero(target[1:] != target[:-1]) + 1).tolist(), len(doc)]
-    rows = [(int(target[x]), doc[x:z].tobytes(), h[x:z].tobytes()) for x, z in zip(cut, cut[1:], strict=False)]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["target", "docs", "hits"])
-
-
-def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (doc_id, hits) for each document of a target, from the rows (target, docs, hits) in order of target."""
-    held: list[tuple[bytes, bytes]] = []
+    low = h.view(np.uint8).reshape(-1, 8)[:, :width]
+    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    count = np.diff(np.r_[first, len(doc)]).astype(np.uint32)
+    owner, docs = target[first], doc[first]
+    cut = [0, *(np.flatnonzero(owner[1:] != owner[:-1]) + 1).tolist(), len(owner)]
+    at = np.r_[first, len(doc)]
+    rows = [(int(owner[x]), docs[x:z].tobytes(), count[x:z].tobytes(), low[at[x] : at[z]].tobytes()) for x, z in zip(cut, cut[1:], strict=False)]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["target", "docs", "counts", "hits"])
+
+
+def _by_document(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """A row (doc_id, hits) for each document of a target, from the rows of _answers in order of target."""
+    held: list[tuple[bytes, bytes, bytes]] = []
     now = None
 
     def close() -> Iterator[pa.RecordBatch]:
-        doc = np.frombuffer(b"".join(d for d, _ in held), np.int64)
-        h = np.frombuffer(b"".join(x for _, x in held), _U)
+        doc, count, low = (b"".join(x) for x in zip(*held, strict=True))
         held.clear()
+        doc = np.repeat(np.frombuffer(doc, np.int64), np.frombuffer(count, np.uint32))
+        h = np.zeros((len(doc), 8), np.uint8)
+        h[:, :width] = np.frombuffer(low, np.uint8).reshape(-1, width)
+        h = h.view(_U).ravel()
         order = np.lexsort((h, doc))
         doc, h = doc[order], h[order]
         cut = [0, *(np.flatnonzero(doc[1:] != doc[:-1]) + 1).tolist(), len(doc)]
-        for low in range(0, len(cut) - 1, 1000):
-            some = cut[low : low + 1001]
+        for low_ in range(0, len(cut) - 1, 1000):
+            some = cut[low_ : low_ + 1001]
             yield pa.RecordBatch.from_arrays([pa.array(doc[np.array(some[:-1])]), pa.array([pack(h[x:z]) for x, z in zip(some, some[1:], strict=False)], pa.binary())], ["doc_id", "hits"])
 
     for b in batches:
-        for target, docs, hits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for target, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if target != now and held:
                 yield from close()
             now = target
-            held.append((docs, hits))
+            held.append(tuple(row))
     if held:
         yield from close()
 
 
-def _lookup(sent: DataFrame, parts: int, references: bool) -> DataFrame:
+def _lookup(sent: DataFrame, parts: int, bits: int, references: bool) -> DataFrame:
     """doc_id and the hashes that are indexed for a smaller document. With references, a document whose indexed hash
     another one hits is told so too.
 
     A task holds the index of its hash range (each slice sends a hash once, with its smallest document) and lets the
     probes stream past, so a hash that a third of all documents have costs time, not memory.
     """
+    width = (bits + 7) // 8
     dealt = sent.repartition(parts, "part").sortWithinPartitions("part", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +171,7 @@ def _lookup(sent: DataFrame, parts: int, references: bool) -> DataFrame:
 
         def send(most: int) -> Iterator[pa.RecordBatch]:
             if found and sum(len(x) for x, _ in found) > most:
-                yield _answers(found, parts)
+                yield _answers(found, parts, width)
                 found.clear()
 
         for b in batches:
@@ -185,8 +197,8 @@ def _lookup(sent: DataFrame, parts: int, references: bool) -> DataFrame:
         close()
         yield from send(0)
 
-    answers = dealt.mapInArrow(run, "target int, docs binary, hits binary")
-    return answers.repartition(parts, "target").sortWithinPartitions("target").mapInArrow(_by_document, "doc_id long, hits binary")
+    answers = dealt.mapInArrow(run, "target int, docs binary, counts binary, hits binary")
+    return answers.repartition(parts, "target").sortWithinPartitions("target").mapInArrow(lambda b: _by_document(b, width), "doc_id long, hits binary")
 
 
 def _hits(packed: pa.Array) -> np.ndarray:
@@ -214,7 +226,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     bits = min(60, max(36, int(total // (4 * block) + 1).bit_length() + 14))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", TOGETHER):
             ids = np.asarray(b.column(0))
             w = Words(*text_bytes(b.column(1)))
             h, at = w.grams(block)
@@ -225,11 +237,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield _batch(out)
 
     known = rows.where("doc_id is not null")
-    hits = _lookup(known.mapInArrow(probe, _SENT), parts, references=True)
+    hits = _lookup(known.mapInArrow(probe, _SENT), parts, bits, references=True)
     held = materialise(rows.join(hits, "doc_id", "left"))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", TOGETHER):
             ids = np.asarray(b.column(0))
             w = Words(*text_bytes(b.column(1)))
             word = w.hashes()
@@ -244,7 +256,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             if out := [*_rows(0, h, doc, ids, 62, parts), *_rows(1, h, doc, ids, 62, parts)]:
                 yield _batch(out)
 
-    gone = _lookup(held.where("hits is not null").mapInArrow(extend, _SENT), parts, references=False)
+    gone = _lookup(held.where("hits is not null").mapInArrow(extend, _SENT), parts, 62, references=False)
     rest = held.where("hits is null").select("doc_id", "text", F.lit(None).cast("binary").alias("gone"))
     done = held.where("hits is not null").select("doc_id", "text").join(gone.withColumnRenamed("hits", "gone"), "doc_id", "left")
 
