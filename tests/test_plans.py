@@ -272,12 +272,12 @@ def test_laplace_accuracy_on_a_grid(spark):
 
 
 def test_estimation(spark):
-    d = Data(spark, n=60, seed=4)
+    d = Data(spark)
     values = d.values.withColumn("z", F.col("z") + 3)
-    fit = fitting.estimate(d.points, values, 15, start=[1.0, 0.3, 0.5, 0.1], max_evaluations=250)
+    fit = fitting.estimate(d.points, values, 10, max_evaluations=150)
     assert fit.beta[0] == pytest.approx(d.z.mean() + 3)
     assert set(fit.named()) == {"variance", "range", "smoothness", "nugget"}
-    plan = specify(d.points, 15)
+    plan = specify(d.points, 10)
     start = number(evaluate.loglik(plan, fit.values, (1.0, 0.3, 0.5), 0.1))
     assert fit.loglik > start
     assert fit.loglik == pytest.approx(number(evaluate.loglik(plan, fit.values, fit.parameters, fit.nugget)), abs=1e-6)
