@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import materialise
@@ -15,7 +15,7 @@ QUERIES, CANDIDATES = 2048, 128
 _OUT = "query long, slot int, nbr long, dist double, done boolean"
 
 
-def _solver(k: int, low: list[float], span: list[float], size: float, last: bool):
+def _solver(k: int, low: list[float], span: list[float], size: float, last: bool, dense: bool):
     """What a group of the join does: exact distances of its queries to its candidates, and which queries are done."""
 
     def solve(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -43,6 +43,8 @@ def _solver(k: int, low: list[float], span: list[float], size: float, last: bool
             dist = np.take_along_axis(d, order, 1)
             kth = dist[:, k - 1] if dist.shape[1] >= k else np.full(len(dist), np.inf)
             ok = (kth <= border[s : s + step]) | np.isinf(border[s : s + step])
+            if dense:  # all candidates before a query are in sight
+                ok |= np.isfinite(d).sum(1) >= before[s : s + step]
             r, c = np.nonzero(np.isfinite(dist) & ok[:, None])
             out.append(pd.DataFrame({"query": own[s + r], "slot": (c + 1).astype(np.int32), "nbr": ids[order[r, c]], "dist": dist[r, c], "done": True}))
             out.append(pd.DataFrame({"query": own[s : s + step][~ok], "slot": np.int32(0), "nbr": np.int64(-1), "dist": 0.0, "done": False}))
@@ -51,11 +53,12 @@ def _solver(k: int, low: list[float], span: list[float], size: float, last: bool
     return solve
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+def nearest(queries: DataFrame, candidates: DataFrame, k: int, dense: bool = False) -> DataFrame:
     """query, slot (from 1), nbr, dist: the k nearest candidates of each query, ties to the smaller nbr.
 
     queries: (query, coords, before): candidates with nbr >= before, and the one with nbr = query, don't count; a null
-    before allows all. candidates: (nbr, coords). A query with fewer candidates gets them all.
+    before allows all. candidates: (nbr, coords). A query with fewer candidates gets them all. dense: the candidates are
+    numbered 0, 1, 2, ..., so before tells how many there are for a query.
 
     The plane of the first two coordinates is cut into cells. A query sees the 3 x 3 cells around its own; it is done if
     its k-th distance is not beyond the border of those (or nothing lies beyond). The others get cells four times as
@@ -87,7 +90,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
         halo = halo.join(crowd, cells).where("nbr < _most").withColumn("salt", F.explode(F.sequence(F.lit(0), groups - 1))).select(*[F.col(c).alias(f"of_{c}") for c in [*cells, "salt"]], "nbr", F.col("coords").alias("place"))
 
         key = [*cells, "salt"]
-        got = materialise(q.groupBy(*key).cogroup(halo.groupBy(*[f"of_{c}" for c in key])).applyInPandas(_solver(k, low, span, size, last), _OUT))
+        got = materialise(q.groupBy(*key).cogroup(halo.groupBy(*[f"of_{c}" for c in key])).applyInPandas(_solver(k, low, span, size, last, dense), _OUT))
         found.append(got.where("done").select("query", "slot", "nbr", "dist"))
         if last:
             break
@@ -102,7 +105,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     return out
 
 
-def _with_self(found: DataFrame, ordered: DataFrame, order: Column | None = None) -> DataFrame:
+def _with_self(found: DataFrame, ordered: DataFrame) -> DataFrame:
     rows = found.select(F.col("query").alias("pos"), "slot", F.col("nbr").alias("nbr_pos"))
     own = ordered.select("pos", F.lit(0).alias("slot"), F.col("pos").alias("nbr_pos"))
     return own.unionByName(rows)
@@ -111,7 +114,7 @@ def _with_self(found: DataFrame, ordered: DataFrame, order: Column | None = None
 def ordered_neighbors(ordered: DataFrame, m: int) -> DataFrame:
     """pos, slot, nbr_pos: each point itself (slot 0) and its at most m nearest earlier points, nearest first."""
     q = ordered.select(F.col("pos").alias("query"), "coords", F.col("pos").alias("before"))
-    return _with_self(nearest(q, ordered.select(F.col("pos").alias("nbr"), "coords"), m), ordered)
+    return _with_self(nearest(q, ordered.select(F.col("pos").alias("nbr"), "coords"), m, dense=True), ordered)
 
 
 def plain_neighbors(points: DataFrame, k: int, key: str = "loc_id") -> DataFrame:

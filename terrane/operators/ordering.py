@@ -127,13 +127,15 @@ def maxmin(points: DataFrame) -> DataFrame:
     return points.join(in_one_task(points.select("loc_id", "coords"), run, "loc_id long, pos long"), "loc_id")
 
 
-def nearest_rows(x: np.ndarray, k: int) -> np.ndarray:
-    """The k nearest other rows of each row, nearest first, ties to the smaller row."""
-    out = np.empty((len(x), k), np.int64)
-    for a in range(0, len(x), 512):
-        d = ((x[a : a + 512, None] - x[None]) ** 2).sum(-1)
-        d[np.arange(len(d)), a + np.arange(len(d))] = np.inf
-        out[a : a + 512] = np.argsort(d, axis=1, kind="stable")[:, :k]
+def nearest_rows(x: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest other rows of x of each of the given rows, nearest first, ties to the smaller row."""
+    out = np.empty((len(rows), k), np.int64)
+    step = max(1, (1 << 22) // max(len(x), 1))
+    for a in range(0, len(rows), step):
+        mine = rows[a : a + step]
+        d = ((x[mine, None] - x[None]) ** 2).sum(-1)
+        d[np.arange(len(d)), mine] = np.inf
+        out[a : a + step] = np.argsort(d, axis=1, kind="stable")[:, :k]
     return out
 
 
@@ -144,7 +146,7 @@ def demoted(observed: np.ndarray, predicted: np.ndarray) -> np.ndarray:
     n, n_pred = len(observed), len(predicted)
     every = np.concatenate([observed, predicted])
     m = max(1, min(round(n**0.5), 200, n + n_pred - 1))
-    near = nearest_rows(every, m)
+    near = nearest_rows(every, np.arange(n, n + n_pred), m)
     queue: list[int | None] = [*maxmin_places(observed).tolist(), *(n + maxmin_places(predicted)).tolist()]
     place = np.empty(n + n_pred, np.int64)
     place[queue] = np.arange(len(queue))
@@ -152,7 +154,7 @@ def demoted(observed: np.ndarray, predicted: np.ndarray) -> np.ndarray:
     while turn < min(n + 2 * n_pred, len(queue)):
         point = queue[turn]
         count = max(1, round(min(m, (n + n_pred) / (turn + 2 - moved))))
-        if point is not None and place[near[point, :count]].min() < turn:
+        if point is not None and place[near[point - n, :count]].min() < turn:
             moved += 1
             place[point] = len(queue)
             queue.append(point)
