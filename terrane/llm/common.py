@@ -27,7 +27,14 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = []
 
 
+#: Bytes of an Arrow batch between Spark and a worker, so that long rows don't make large batches.
+BATCH_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a DataFrame. The session's Arrow batches are bounded from now on, unless it has a bound of its own."""
+    if "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.conf.getAll:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

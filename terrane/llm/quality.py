@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Words, mix, slices, spans_hash, text_bytes
+from .common import Words, mix, release, slices, spans_hash, text_bytes
 from .learning import ROWS_PER_CLASS, Adam, held_out, log_loss, sigmoid, training_rows
 
 #: Hashed words; shapes of words (which are words of a second kind); length of a vector; neighbours on each side.
@@ -150,7 +150,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     got = sorted(rows.select("doc_id", "text", "label").mapInArrow(extract, "doc_id long, label int, words binary, shapes binary").collect(), key=lambda r: (r["doc_id"], r["words"]))
     y = np.array([r["label"] for r in got], float)
     texts = [(np.frombuffer(r["words"], np.uint16), np.frombuffer(r["shapes"], np.uint16)) for r in got]
-    return fit_network(texts, y, np.array([weights[int(v)] for v in y]))
+    network = fit_network(texts, y, np.array([weights[int(v)] for v in y]))
+    del got, texts
+    release()
+    return network
 
 
 def score(docs: DataFrame, network: Network, threshold: float = 0.3) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import Words, slices, spans_hash, text_bytes
+from .common import Words, release, slices, spans_hash, text_bytes
 from .learning import ROWS_PER_CLASS, Adam, held_out, sigmoid, training_rows
 
 #: Bits of a hashed term; terms that stay in the model at most, and training texts that must have one at least.
@@ -63,7 +63,7 @@ def fit_machine(doc: np.ndarray, term: np.ndarray, y: np.ndarray, row_weight: np
     texts that hold them, by the size of a z statistic; a term in fewer than LEAST_TEXTS texts isn't learnt."""
     n = len(y)
     held = np.bincount(term, minlength=1 << TERM_BITS)
-    positive = np.bincount(term, y[doc], 1 << TERM_BITS)
+    positive = np.bincount(term[(y > 0)[doc]], minlength=1 << TERM_BITS)
     share = y.mean() if n else 0.0
     z = np.abs(positive - held * share) / np.sqrt(np.maximum(held * share * (1 - share), 1e-9))
     able = np.flatnonzero((held >= LEAST_TEXTS) & (z >= 3))
@@ -119,8 +119,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     got = sorted(rows.select("doc_id", "text", "label").mapInArrow(extract, "doc_id long, label int, terms binary").collect(), key=lambda r: (r["doc_id"], r["terms"]))
     each = [np.frombuffer(r["terms"], np.int32) for r in got]
     y = np.array([r["label"] for r in got], float)
-    doc = np.repeat(np.arange(len(got)), [len(x) for x in each])
-    return fit_machine(doc, np.concatenate([*each, np.zeros(0, np.int32)]).astype(np.int64), y, np.array([weights[int(v)] for v in y]))
+    doc = np.repeat(np.arange(len(got), dtype=np.int32), [len(x) for x in each])
+    term = np.concatenate([*each, np.zeros(0, np.int32)])
+    row_weight = np.array([weights[int(v)] for v in y])
+    del got, each
+    machine = fit_machine(doc, term, y, row_weight)
+    del doc, term
+    release()
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.5) -> DataFrame:
