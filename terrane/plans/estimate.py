@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import Model, check
 from ..functions.optimise import nelder_mead
-from ..functions.vecchia import Posterior
+from ..functions.conditional import Posterior
 from .evaluate import predict, run
 from .specify import Plan, specify
 

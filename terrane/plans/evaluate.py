@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..functions.kernels import Model
 from ..functions.linalg import incomplete_cholesky
-from ..functions.vecchia import Posterior, Rows, u_columns
+from ..functions.conditional import Posterior, Rows, u_columns
 from ..sources.storage import in_one_task
 from .specify import Plan
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.families import Family, check_support, family
 from ..functions.kernels import Model, check
 from ..functions.special import normal_quantile
-from ..functions.vecchia import Posterior, Rows
+from ..functions.conditional import Posterior, Rows
 from ..sources.storage import materialise
 from .evaluate import loglik, predict, run
 from .specify import Plan
