@@ -646,15 +646,16 @@ def vl_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points.pts2d(spark, sf_dir)
-    fit = fitting.estimate(p, p, 5, cond_yz="z", start=[1.0, 0.3, 0.5, 0.1], max_evaluations=100)
-    return spark.createDataFrame([(k, v) for k, v in fit.named().items()], "parameter string, value double")
+    fit = fitting.estimate(p, p, 5, cond_yz="z", start=[1.0, 0.3, 0.5, 0.1])
+    return spark.createDataFrame([(k, v, fit.evaluations, fit.converged) for k, v in fit.named().items()], "parameter string, value double, evaluations long, converged boolean")
 
 
 @query()
 def predict_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points.pts2d(spark, sf_dir)
-    fit = fitting.estimate(p, p, 5, cond_yz="z", start=[1.0, 0.3, 0.5, 0.1], max_evaluations=40)
-    return fitting.predict_fit(fit, grid_points(spark), 10).withColumns({"mean": six("mean"), "var": six("var")})
+    fit = fitting.estimate(p, p, 5, cond_yz="z", start=[1.0, 0.3, 0.5, 0.1])
+    out = fitting.predict_fit(fit, grid_points(spark), 10).withColumns({"mean": six("mean"), "var": six("var")})
+    return out.withColumns({"evaluations": F.lit(fit.evaluations).cast("long"), "converged": F.lit(fit.converged)})
 
 
 @query()

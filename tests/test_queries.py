@@ -44,3 +44,9 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
+
+
+@pytest.mark.parametrize("name", ["estimate", "predict_fitted"])
+def test_searches_end_by_convergence(spark, name):
+    got = core.QUERIES[name](spark, SF).select("evaluations", "converged").distinct().collect()
+    assert [r.converged for r in got] == [True] and got[0].evaluations > 101
