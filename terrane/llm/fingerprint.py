@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts
+from .common import materialise, shuffle_parts
 
 #: Documents that one range of the order of doc_id holds, about.
 RANGE_ROWS = 4096
@@ -27,33 +28,43 @@ def digest(form: bytes) -> str:
     return xxhash.xxh3_128_hexdigest(form)
 
 
+def packed(form: bytes) -> bytes:
+    """A form without loss in fewer bytes; equal if and only if the forms are."""
+    return zlib.compress(form)
+
+
 def likeness(a: bytes, b: bytes) -> float:
     """1.0 if two canonical forms have the same digest and the same bytes, else 0.0."""
     return float(digest(a) == digest(b) and a == b)
 
 
-def fingerprint_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, group_id (smallest doc_id with this canonical form), n_copies for every row of docs.
+def form_groups(docs: DataFrame) -> tuple[DataFrame, frozenset[str]]:
+    """fingerprint, apart, group_id (smallest doc_id with a canonical form), n_copies for each form, and the digests
+    that several forms share: only for these apart is the packed form, else it is empty.
 
-    Rows are grouped by a 128-bit digest. Inside a bucket the canonical bytes are compared: a bucket whose least and
-    greatest form differ is a collision, and its rows are grouped by the bytes themselves. Both need only map-side
-    combined minima, maxima and counts, so one group with a third of all rows is no hot task.
+    Rows are grouped by their digest and by their bytes, packed without loss. Minima and counts are combined before the
+    shuffle, so one group with a third of all rows is no hot task. Digests that collide come to the driver.
     """
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             form = [canonical(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([digest(x) for x in form]), pa.array(form, pa.binary())], ["doc_id", "fingerprint", "form"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([digest(x) for x in form], pa.string()), pa.array([packed(x) for x in form], pa.binary())], ["doc_id", "fingerprint", "form"])
 
     rows = docs.select("doc_id", "text").mapInArrow(forms, "doc_id long, fingerprint string, form binary")
-    buckets = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("g"), F.count("*").alias("n"), F.min("form").alias("least"), F.max("form").alias("most"))
-    clean = buckets.where(F.col("least") == F.col("most")).select("fingerprint", F.col("g").alias("group_id"), F.col("n").alias("n_copies"))
-    mixed = buckets.where(F.col("least") != F.col("most")).select("fingerprint")
-    apart = rows.join(mixed, "fingerprint").groupBy("fingerprint", "form").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_copies"))
-    light = rows.select("doc_id", "fingerprint")
-    same = light.join(clean, "fingerprint")
-    other = rows.join(apart, ["fingerprint", "form"]).drop("form")
-    return same.unionByName(other.select(*same.columns)).select("doc_id", "fingerprint", "group_id", "n_copies")
+    each = rows.groupBy("fingerprint", "form").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_copies"))
+    # Written, as it is read twice.
+    light = materialise(each.select("fingerprint", F.lit(b"").alias("apart"), "group_id", "n_copies"))
+    mixed = frozenset(r["fingerprint"] for r in light.groupBy("fingerprint").count().where("count > 1").collect())
+    if mixed:
+        shared = F.col("fingerprint").isin(*sorted(mixed))
+        light = light.where(~shared).unionByName(each.where(shared).withColumnRenamed("form", "apart"))
+    return light, mixed
+
+
+def fingerprint_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, group_id (smallest doc_id with this canonical form), n_copies for every row of docs."""
+    return fingerprints(docs).select("doc_id", "fingerprint", "group_id", "n_copies")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -115,22 +126,26 @@ def edit(text: str, following: str) -> str:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Digests of every document and of its edited text, and the likeness to the edited text and the next document.
+    """Digests of every document and of its edited text, the likeness to the edited text and the next document, and the
+    group of documents with equal canonical bytes.
 
-    Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. A null text is
-    empty; empty texts have the digest of no bytes. With one row the next document is the document itself. Repeated
+    Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, group_id (the
+    group's smallest doc_id), n_copies (its rows). A null text is empty; empty texts have the digest of no bytes. With one row the next document is the document itself. Repeated
     rows follow each other.
     """
 
+    groups, mixed = form_groups(docs)
+
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(7)]
             for text, following in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 changed = edit(text, following)
                 own, new = canonical(text), canonical(changed)
-                for c, v in zip(cols, (len(text), hashlib.sha256(changed.encode()).hexdigest(), digest(own), digest(new), likeness(own, new), likeness(own, canonical(following))), strict=True):
+                for c, v in zip(cols, (len(text), hashlib.sha256(changed.encode()).hexdigest(), digest(own), digest(new), likeness(own, new), likeness(own, canonical(following)), packed(own) if digest(own) in mixed else b""), strict=True):
                     c.append(v)
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "apart"])
 
-    return with_next(docs).mapInArrow(prints, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    rows = with_next(docs).mapInArrow(prints, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, apart binary")
+    return rows.join(groups, ["fingerprint", "apart"]).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "group_id", "n_copies")

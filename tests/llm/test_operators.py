@@ -387,6 +387,15 @@ def test_fingerprint_groups(spark, monkeypatch):
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4, 6: 4, 7: 7, 8: 7}
 
 
+def test_fingerprints_query_groups_the_whole_table(spark):
+    got = QUERIES["op7_fingerprints"](spark, SF).collect()
+    groups = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
+        groups.setdefault(fingerprint.canonical(r.text), []).append(r.doc_id)
+    want = {i: (min(ids), len(ids)) for ids in groups.values() for i in ids}
+    assert {r.doc_id: (r.group_id, r.n_copies) for r in got} == want and max(n for _, n in want.values()) > 1
+
+
 # 1 and 10
 
 
