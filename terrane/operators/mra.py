@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import warnings
 from collections.abc import Sequence
@@ -30,36 +31,21 @@ class Tree:
 
 
 def choose(n: int, m: int) -> Tree:
-    """A tree for n points with conditioning sets of about m."""
-    if m == 1:
-        return Tree(1, (1, 1), (_power_of_two(n - 1),))
-    levels = 1
-    while 2**levels / levels <= n / m:
-        levels += 1
-    if levels + 1 > m:  # m is too small for a knot on each level
-        levels = m - 1
-        inner = sum(2**k for k in range(levels))
-        children = [2] * (levels - 1) + [_power_of_two((n - inner) / 2 ** (levels - 1))]
-        knots = [1] * (levels + 1)
-    else:
-        children = [2] * levels
-        knots = [math.ceil(m / (levels + 1))] * (levels + 1)
-        for k in range(sum(knots) - m):
-            knots[k] -= 1
-    nodes = np.cumprod([1, *children])
-    if sum(knots) > m or int(np.dot(knots, nodes)) < n:
+    """A binary tree for n points with conditioning sets of about m.
+
+    It is as deep as the least k with 2**k / k > n / m, but has a knot for each level in m. The m knots of a path are
+    spread evenly, the odd ones low down. If m ends the tree early, the last nodes have as many children as the points
+    that are left need.
+    """
+    wanted = next(k for k in itertools.count(1) if m * 2**k > n * k)
+    depth = max(1, min(wanted, m - 1))
+    children = [2] * depth
+    if m - 1 < wanted:
+        children[-1] = _power_of_two((n - 2**depth + 1) / 2 ** (depth - 1))
+    tree = Tree(depth, tuple(max(1, (m + k) // (depth + 1)) for k in range(depth + 1)), tuple(children))
+    if sum(r * math.prod(children[:k]) for k, r in enumerate(tree.r)) < n:
         raise ValueError("no tree fits n and m")
-    return Tree(levels, tuple(knots), tuple(children))
-
-
-def choose_decaying(n: int, m: int) -> Tree:
-    """A tree whose knots halve from level to level."""
-    knots = [round(m / 2)]
-    while sum(knots) < m + 1:
-        knots.append(max(round(knots[-1] / 2), 1))
-    levels = len(knots) - 1
-    used = knots[0] + sum(2**k * knots[k] for k in range(1, levels))
-    return Tree(levels, tuple(knots), (*[2] * (levels - 1), _power_of_two(n - used)))
+    return tree
 
 
 def parameters(n: int, m: int, r: Sequence[int] | None = None, J: Sequence[int] | int | None = None, M: int | None = None) -> Tree:  # noqa: N803
@@ -96,59 +82,67 @@ def parameters(n: int, m: int, r: Sequence[int] | None = None, J: Sequence[int]
     return Tree(M, tuple(r * (M + 1) if len(r) == 1 else r), tuple(children * M if len(children) == 1 else children))
 
 
-def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows above and below the median of x; rows at the median first even out the sizes, then go half to each."""
-    middle = np.median(x)
-    upper, lower, border = np.flatnonzero(x > middle), np.flatnonzero(x < middle), np.flatnonzero(x == middle)
-    gap = min(abs(len(upper) - len(lower)), len(border))
-    fill, border = border[:gap], border[gap:]
-    if len(upper) > len(lower):
-        lower = np.r_[lower, fill]
-    else:
-        upper = np.r_[upper, fill]
-    return np.r_[upper, border[: len(border) // 2]], np.r_[lower, border[len(border) // 2 :]]
-
-
-def equal_clusters(x: np.ndarray, k: int, first_dim: int) -> np.ndarray:
-    """The cluster (0 to k - 1, k a power of two) of each row, by medians of one dimension after the other."""
-    regions = {0: np.arange(len(x))}
-    for level in range(int(math.log2(_power_of_two(k)))):
-        dim = (first_dim + level) % x.shape[1]
-        split = {}
-        for region, rows in regions.items():
-            if len(rows):
-                a, b = halves(x[rows, dim])
-                split[2 * region], split[2 * region + 1] = rows[a], rows[b]
-        regions = split
-    out = np.zeros(len(x), np.int64)
-    for region, rows in regions.items():
-        out[rows] = region
-    return out
+def _places(group: np.ndarray) -> np.ndarray:
+    """The place of each row among the rows of its group (numbered from 0), in the given order."""
+    by = np.argsort(group, kind="stable")
+    size = np.bincount(group)
+    place = np.empty(len(group), np.int64)
+    place[by] = np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size)
+    return place
+
+
+def upper_half(x: np.ndarray, region: np.ndarray) -> np.ndarray:
+    """Which rows are in the upper half of their region (numbered from 0) by x; of n rows n // 2 are.
+
+    All regions are cut at once, by rank. Of the rows with the value at which the cut falls, the first go to the side
+    that has fewer other rows until both are even, and of the rest the first half goes up.
+    """
+    by = np.lexsort((-x, region))
+    size = np.bincount(region)
+    first = (np.cumsum(size) - size)[region[by]]
+    fresh = np.r_[True, (region[by][1:] != region[by][:-1]) | (x[by][1:] != x[by][:-1])][: len(by)]
+    run = np.cumsum(fresh) - 1
+    opens, length = np.flatnonzero(fresh), np.bincount(run)
+    half = size[region[by]] // 2
+    cut = run[first + half]
+    above, level = opens[cut] - first, length[cut]
+    below = size[region[by]] - above - level
+    tied = np.arange(len(by)) - first - above - np.maximum(above - below, 0)
+    up = np.empty(len(by), bool)
+    up[by] = (run < cut) | ((run == cut) & (tied >= 0) & (tied < half - above))
+    return up
+
+
+def split_regions(x: np.ndarray, region: np.ndarray, k: int, first_dim: int) -> np.ndarray:
+    """The part (0 to k - 1, k a power of two) of its region each row is in, by medians of one dimension after the other."""
+    part = np.zeros(len(x), np.int64)
+    for level in range((k - 1).bit_length()):
+        _, own = np.unique(region * np.int64(k) + part, return_inverse=True)
+        part = 2 * part + ~upper_half(x[:, (first_dim + level) % x.shape[1]], own)
+    return part
 
 
 def knots(x: np.ndarray, tree: Tree) -> dict[str, np.ndarray]:
-    """The knots of each node: rows of x in their order. A node's id is its parent's with _ and its number; the root is r."""
+    """The knots of each node: rows of x in their order. A node's id is its parent's with _ and its number; the root is r.
+
+    A node's first rows are its knots and the rest is dealt to its children, for all nodes of a depth together.
+    """
     out: dict[str, np.ndarray] = {}
-    level = {"r": np.arange(len(x))}
+    names, region, live = ["r"], np.zeros(len(x), np.int64), np.arange(len(x))
     for depth in range(tree.M + 1):
-        below: dict[str, np.ndarray] = {}
-        for node, rows in level.items():
-            if depth == tree.M:
-                out[node] = rows
-                continue
-            own = rows[: tree.r[depth]]
-            out[node] = own
-            rest = rows[len(own) :]
-            if not len(rest):
-                continue
-            if tree.J[depth] > len(rest):
-                groups = np.arange(len(rest))
-            else:
-                groups = equal_clusters(x[rest], tree.J[depth], depth % 2 + 1)
-            for g in np.unique(groups):
-                below[f"{node}_{g}"] = rest[groups == g]
-        level = below
-    return {node: rows for node, rows in out.items() if len(rows)}
+        place = _places(region)
+        taken = place < (tree.r[depth] if depth < tree.M else len(x))
+        out |= {names[k]: live[taken & (region == k)] for k in np.unique(region[taken])}
+        region, place, live = region[~taken], place[~taken], live[~taken]
+        if not len(live):
+            break
+        # Regions with fewer rows than children: each row is a child of its own.
+        many = np.bincount(region)[region] >= tree.J[depth]
+        child = place - tree.r[depth]
+        child[many] = split_regions(x[live[many]], np.unique(region[many], return_inverse=True)[1], tree.J[depth], depth % 2 + 1)
+        (up, own), region = np.unique([region, child], axis=1, return_inverse=True)
+        names = [f"{names[a]}_{b}" for a, b in zip(up, own, strict=True)]
+    return out
 
 
 def knot_table(ordered: DataFrame, tree: Tree) -> DataFrame:

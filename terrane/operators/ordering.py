@@ -67,9 +67,10 @@ def as_given(points: DataFrame) -> DataFrame:
     return numbered(points, F.col("loc_id"))
 
 
-def maxmin_places(x: np.ndarray) -> np.ndarray:
+def maxmin_places(x: np.ndarray, first: int | None = None) -> np.ndarray:
     """The exact max-min ordering of the rows of x: first the row nearest the mean, then always the row farthest from
-    those taken, ties to the smaller row.
+    those taken, ties to the smaller row. With `first` the first so many rows are all taken before the others; the row
+    nearest the mean is then one of theirs.
 
     Rows are cut into blocks along the widest dimension again and again. A new point changes only blocks whose box is
     nearer to it than the block's largest distance, so a step looks at all boxes but at few points.
@@ -77,15 +78,17 @@ def maxmin_places(x: np.ndarray) -> np.ndarray:
     n = len(x)
     if not n:
         return np.zeros(0, np.int64)
-    blocks, todo = [], [np.arange(n)]
+    turns = [rows for rows in np.split(np.arange(n), [n if first is None else first]) if len(rows)]
+    blocks, turn_of, todo = [], [], list(enumerate(turns))
     while todo:
-        rows = todo.pop()
+        turn, rows = todo.pop()
         if len(rows) <= BLOCK:
             blocks.append(np.sort(rows))
+            turn_of.append(turn)
             continue
         dim = int(np.argmax(np.ptp(x[rows], axis=0)))
         order = rows[np.argsort(x[rows, dim], kind="stable")]
-        todo += [order[: len(order) // 2], order[len(order) // 2 :]]
+        todo += [(turn, order[: len(order) // 2]), (turn, order[len(order) // 2 :])]
     width = max(map(len, blocks))
     row = np.full((len(blocks), width), n)
     for i, b in enumerate(blocks):
@@ -96,10 +99,12 @@ def maxmin_places(x: np.ndarray) -> np.ndarray:
     high = np.where(real[..., None], place, -np.inf).max(1)
     far = np.where(real, np.inf, -1.0)
     best, at = far.max(1), far.argmax(1)
-    pick = int(np.argmin(((x - x.mean(0)) ** 2).sum(1)))
+    mine = x[turns[0]]
+    pick = int(np.argmin(((mine - mine.mean(0)) ** 2).sum(1)))
     out = np.empty(n, np.int64)
     block_of, slot_of = np.empty(n, np.int64), np.empty(n, np.int64)
     block_of[row[real]], slot_of[row[real]] = np.nonzero(real)
+    now = [np.flatnonzero(np.array(turn_of) == turn) for turn in range(len(turns))]
     for k in range(n):
         out[k] = pick
         p = x[pick]
@@ -111,7 +116,8 @@ def maxmin_places(x: np.ndarray) -> np.ndarray:
         far[touched] = np.minimum(far[touched], d)
         best[touched], at[touched] = far[touched].max(1), far[touched].argmax(1)
         if k + 1 < n:
-            ties = np.flatnonzero(best == best.max())
+            open_ = now[0] if k + 1 < len(turns[0]) else now[-1]
+            ties = open_[best[open_] == best[open_].max()]
             pick = int(row[ties, at[ties]].min())
     return out
 
@@ -127,53 +133,14 @@ def maxmin(points: DataFrame) -> DataFrame:
     return points.join(in_one_task(points.select("loc_id", "coords"), run, "loc_id long, pos long"), "loc_id")
 
 
-def nearest_rows(x: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
-    """The k nearest other rows of x of each of the given rows, nearest first, ties to the smaller row."""
-    out = np.empty((len(rows), k), np.int64)
-    step = max(1, (1 << 22) // max(len(x), 1))
-    for a in range(0, len(rows), step):
-        mine = rows[a : a + step]
-        d = ((x[mine, None] - x[None]) ** 2).sum(-1)
-        d[np.arange(len(d)), mine] = np.inf
-        out[a : a + step] = np.argsort(d, axis=1, kind="stable")[:, :k]
-    return out
-
-
-def demoted(observed: np.ndarray, predicted: np.ndarray) -> np.ndarray:
-    """Order of predicted points behind observed ones: max-min, but a point goes to the end of the queue while one of its
-    near neighbours stands before it. How many neighbours count falls as the queue fills; each point gets two turns on
-    average."""
-    n, n_pred = len(observed), len(predicted)
-    every = np.concatenate([observed, predicted])
-    m = max(1, min(round(n**0.5), 200, n + n_pred - 1))
-    near = nearest_rows(every, np.arange(n, n + n_pred), m)
-    queue: list[int | None] = [*maxmin_places(observed).tolist(), *(n + maxmin_places(predicted)).tolist()]
-    place = np.empty(n + n_pred, np.int64)
-    place[queue] = np.arange(len(queue))
-    moved, turn = 0, n
-    while turn < min(n + 2 * n_pred, len(queue)):
-        point = queue[turn]
-        count = max(1, round(min(m, (n + n_pred) / (turn + 2 - moved))))
-        if point is not None and place[near[point - n, :count]].min() < turn:
-            moved += 1
-            place[point] = len(queue)
-            queue.append(point)
-            queue[turn] = None
-        turn += 1
-    return np.array([p - n for p in queue if p is not None and p >= n], np.int64)
-
-
 def maxmin_obs_pred(points: DataFrame) -> DataFrame:
-    """Observed points in max-min order, then predicted ones in max-min order with demotions. One task."""
+    """Observed points in max-min order, then always the predicted point farthest from all points before it, observed and
+    predicted; ties to the smaller loc_id. One task."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("loc_id", ignore_index=True)
-        o, q = p[p["is_obs"]], p[~p["is_obs"]]
-        x = np.stack(o["coords"].to_numpy())
-        ids = o["loc_id"].to_numpy()[maxmin_places(x)]
-        if len(q):
-            ids = np.r_[ids, q["loc_id"].to_numpy()[demoted(x, np.stack(q["coords"].to_numpy()))]]
-        return pd.DataFrame({"loc_id": ids, "pos": np.arange(len(p))})
+        p = p.sort_values(["is_obs", "loc_id"], ascending=[False, True], ignore_index=True)
+        places = maxmin_places(np.stack(p["coords"].to_numpy()), int(p["is_obs"].sum()))
+        return pd.DataFrame({"loc_id": p["loc_id"].to_numpy()[places], "pos": np.arange(len(p))})
 
     return points.join(in_one_task(points.select("loc_id", "coords", "is_obs"), run, "loc_id long, pos long"), "loc_id")
 

@@ -68,12 +68,22 @@ def test_maxmin_ties_on_a_grid(spark):
 
 
 def test_maxmin_with_predictions(spark, cloud):
-    pred = np.random.default_rng(9).random((40, 2))
+    """Behind the observed points, always the predicted point farthest from all before it."""
+    pred = np.vstack([np.random.default_rng(9).random((40, 2)), cloud[:3]])
     both = points.union(frame(spark, cloud), frame(spark, pred, 1000))
     got = order_of(ordering.maxmin_obs_pred(both))
     assert got[:300] == greedy(cloud)
-    assert sorted(got[300:]) == list(range(1000, 1040))
-    assert sorted(ordering.demoted(cloud, pred).tolist()) == list(range(40))
+    before, want = cloud, []
+    left = dict(enumerate(pred))
+    while left:
+        far = {i: ((before - p) ** 2).sum(1).min() for i, p in left.items()}
+        pick = min(far, key=lambda i: (-far[i], i))
+        want.append(1000 + pick)
+        before = np.vstack([before, left.pop(pick)])
+    assert got[300:] == want
+    x = np.random.default_rng(1).random((900, 3))
+    assert ordering.maxmin_places(x, 700)[:700].tolist() == greedy(x[:700])
+    assert ordering.maxmin_places(x, 0).tolist() == greedy(x) == ordering.maxmin_places(x, 900).tolist()
 
 
 def test_rotation(spark):
@@ -215,7 +225,7 @@ def test_tree_parameters():
     assert mra.choose(100, 1).J == (128,)
     small = mra.choose(1000, 3)
     assert small.r == (1, 1, 1)
-    assert mra.choose_decaying(200, 20).r[0] == 10
+    assert mra.choose(200, 20) == mra.Tree(6, (2, 3, 3, 3, 3, 3, 3), (2,) * 6) and mra.choose(1000, 3).J == (2, 512)
     with pytest.warns(UserWarning):
         assert mra.parameters(100, 5, r=[4, 3], J=3, M=1) == mra.Tree(1, (4, 3), (4,))
 
@@ -244,9 +254,17 @@ def test_tree(spark, cloud):
     assert [tuple(r) for r in ids] == [(None, 0), ("r", 1), ("r_0", 2)]
 
 
-def test_equal_clusters_with_ties():
-    x = np.array([[0.0], [0.0], [0.0], [0.0], [1.0], [2.0]])
-    a, b = mra.halves(x[:, 0])
-    assert sorted([*a, *b]) == list(range(6)) and len(a) == len(b) == 3
-    groups = mra.equal_clusters(np.random.default_rng(0).random((64, 2)), 8, 1)
-    assert np.bincount(groups).tolist() == [8] * 8
+def test_regions_are_halved_by_rank():
+    x = np.array([0.0, 0.0, 0.0, 0.0, 1.0, 2.0])
+    assert mra.upper_half(x, np.zeros(6, int)).tolist() == [False, False, True, False, True, True]
+    assert mra.upper_half(-x, np.zeros(6, int)).tolist() == [True, True, True, False, False, False]
+    r = np.random.default_rng(0)
+    region, x = r.integers(0, 9, 500), r.integers(0, 6, 500).astype(float)
+    up = mra.upper_half(x, region)
+    for k in range(9):
+        mine, top = x[region == k], up[region == k]
+        assert top.sum() == len(mine) // 2 and mine[top].min() >= mine[~top].max()
+        alone = mra.upper_half(mine, np.zeros(len(mine), int))
+        assert (alone == top).all()
+    parts = mra.split_regions(r.random((64, 2)), np.zeros(64, int), 8, 1)
+    assert np.bincount(parts).tolist() == [8] * 8
