@@ -13,8 +13,12 @@ from pyspark.sql import DataFrame
 from .common import Words, release, slices, spans_hash, text_bytes
 from .learning import ROWS_PER_CLASS, Adam, held_out, sigmoid, training_rows
 
-#: Bits of a hashed term; terms that stay in the model at most, and training texts that must have one at least.
-TERM_BITS, TERMS, LEAST_TEXTS = 20, 4096, 4
+#: Bits of a hashed term.
+TERM_BITS = 20
+#: What a term shows by itself, or a pair of terms beyond both, in standard errors, to be learnt; and the share of the
+#: texts that each term of a pair must be in to be tested with all others. Words of one language go together anyhow, so
+#: pairs need more than single terms.
+ALONE, TOGETHER, PAIR_SHARE = 4.0, 10.0, 0.05
 FACTORS, EPOCHS = 8, 120
 
 _U = np.uint64
@@ -58,16 +62,46 @@ class Machine:
         return self.bias[0] + np.bincount(doc, self.weight[at], n) + ((sums * sums).sum(1) - own) / 2, sums
 
 
+def telling(doc: np.ndarray, term: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The terms, in order, that tell the classes apart alone or with another one, of (doc, term) pairs, each once.
+
+    Alone: by the share of positive texts among those that hold the term. Together: two terms that each stand in
+    PAIR_SHARE of the texts are tested on the texts with both, against what their own shares add up to; so terms that
+    are neutral by themselves are found. All such pairs are tested, by products of blocks of the text-term matrix.
+    """
+    n, share = len(y), y.mean() if len(y) else 0.0
+    if not 0 < share < 1:
+        return np.zeros(0, np.int64)
+    held = np.bincount(term, minlength=1 << TERM_BITS)
+    own = np.bincount(term, (y > 0)[doc], 1 << TERM_BITS)
+    spread = share * (1 - share)
+    able = (np.abs(own - held * share) - 0.5) / np.sqrt(np.maximum(held, 1) * spread) >= ALONE
+    often = np.flatnonzero(held >= max(PAIR_SHARE * n, 1))
+    column = np.full(1 << TERM_BITS, -1, np.int64)
+    column[often] = np.arange(len(often))
+    there = np.zeros((n, len(often)), bool)
+    at = column[term] >= 0
+    there[doc[at], column[term[at]]] = True
+    beyond = own[often] / held[often] - share
+    block, sign = 1024, (y > 0).astype(np.float32)[:, None]
+    for low in range(0, len(often), block):
+        a = there[:, low : low + block].astype(np.float32)
+        for right in range(low, len(often), block):
+            b = there[:, right : right + block].astype(np.float32)
+            both = a.T @ b
+            more = (a * sign).T @ b - both * (share + beyond[low : low + block, None] + beyond[None, right : right + block])
+            hit = np.abs(more) >= TOGETHER * np.sqrt(np.maximum(both, 1) * spread)
+            hit &= np.arange(low, low + len(hit))[:, None] != np.arange(right, right + hit.shape[1])
+            able[often[low : low + block][hit.any(1)]] = True
+            able[often[right : right + block][hit.any(0)]] = True
+    return np.flatnonzero(able)
+
+
 def fit_machine(doc: np.ndarray, term: np.ndarray, y: np.ndarray, row_weight: np.ndarray, seed: int = 7) -> Machine:
-    """Fitted on (doc, term) pairs, each once. Terms are those that differ most between the classes in the share of
-    texts that hold them, by the size of a z statistic; a term in fewer than LEAST_TEXTS texts isn't learnt."""
+    """Fitted on (doc, term) pairs, each once, over the terms that are telling()."""
     n = len(y)
-    held = np.bincount(term, minlength=1 << TERM_BITS)
-    positive = np.bincount(term[(y > 0)[doc]], minlength=1 << TERM_BITS)
     share = y.mean() if n else 0.0
-    z = np.abs(positive - held * share) / np.sqrt(np.maximum(held * share * (1 - share), 1e-9))
-    able = np.flatnonzero((held >= LEAST_TEXTS) & (z >= 3))
-    able = np.sort(able[np.lexsort((able, -z[able]))][:TERMS])
+    able = telling(doc, term, y)
     place = np.full(1 << TERM_BITS, -1, np.int32)
     place[able] = np.arange(len(able))
     rng = np.random.default_rng(seed)
@@ -133,7 +167,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.5) -> DataFram
     """doc_id, held_out, score (0 to 1), predicted for every row of (doc_id, text, ...).
 
     Only the text enters the score; a null text counts as empty and has the score of no terms. Repeated rows score
-    alike; other columns are ignored. The model's size is bounded by TERM_BITS and TERMS, so it is broadcast.
+    alike; other columns are ignored. The model's size is bounded by TERM_BITS, so it is broadcast.
     """
     model = docs.sparkSession.sparkContext.broadcast(machine)
 
@@ -158,4 +192,4 @@ def without_toxic(docs: DataFrame, machine: Machine, threshold: float = 0.5) ->
     return docs.mapInArrow(run, docs.schema)
 
 
-__all__ = ["Machine", "fit", "fit_machine", "score", "terms", "without_toxic"]
+__all__ = ["Machine", "fit", "fit_machine", "score", "telling", "terms", "without_toxic"]

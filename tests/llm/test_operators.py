@@ -439,23 +439,27 @@ def test_folds_and_labels_stay_apart(spark, sample, labels):
     assert a == b
 
 
-def test_toxicity_learns_pairs():
-    """Two terms that are harmful only together: additive weights can't tell them, products of factors can."""
-    r = np.random.default_rng(0)
+@pytest.mark.parametrize("noise", [0, 60])
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_toxicity_learns_pairs(seed, noise):
+    """Two terms that are harmful only together and neutral alone: additive weights can't tell them, a fit must."""
+    r = np.random.default_rng(seed)
     n = 3000
     a, b = r.random(n) < 0.5, r.random(n) < 0.5
     y = (a == b).astype(float)
-    doc = np.r_[np.flatnonzero(a), np.flatnonzero(b), np.arange(n)]
-    term = np.r_[np.full(a.sum(), 10), np.full(b.sum(), 20), np.full(n, 30)]
-    old = toxicity.LEAST_TEXTS
-    m = toxicity.Machine(np.full(1 << toxicity.TERM_BITS, -1, np.int32), np.zeros(1), np.zeros(2), np.zeros((2, toxicity.FACTORS)))
-    assert m.logits(doc, term, n).tolist() == [0.0] * n and old
-    place = np.full(1 << toxicity.TERM_BITS, -1, np.int32)
-    place[[10, 20]] = [0, 1]
-    f = np.zeros((2, toxicity.FACTORS))
-    f[:, 0] = 2.0
-    m = toxicity.Machine(place, np.array([1.0]), np.array([-2.0, -2.0]), f)
-    assert ((m.logits(doc, term, n) > 0) == (y > 0)).all()
+    doc = np.r_[np.flatnonzero(a), np.flatnonzero(b), np.arange(n), np.repeat(np.arange(n), noise)]
+    term = np.r_[np.full(a.sum(), 10), np.full(b.sum(), 20), np.full(n, 30), r.integers(1000, 1400, n * noise)]
+    doc, term = np.divmod(np.unique(doc << toxicity.TERM_BITS | term), 1 << toxicity.TERM_BITS)
+    learn = doc < 2000
+    m = toxicity.fit_machine(doc[learn], term[learn], y[:2000], np.ones(2000))
+    assert {10, 20} <= set(toxicity.telling(doc[learn], term[learn], y[:2000]).tolist())
+    new = (m.logits(doc, term, n) > 0)[2000:] == (y > 0)[2000:]
+    assert new.mean() > 0.95
+
+
+def test_telling_terms_are_none_without_labels():
+    assert not len(toxicity.telling(np.zeros(0, int), np.zeros(0, int), np.zeros(0)))
+    assert not len(toxicity.telling(np.array([0, 1]), np.array([5, 5]), np.ones(2)))
 
 
 def test_without_toxic(nasty, sample, labels, nothing):
