@@ -29,14 +29,15 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
-    return topk.top_k(rows, rows.where(F.col("vec_id") % 50 == 0), k=5)
+    rows = topk.whole_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(rows, rows.where(F.col("vec_id") % 50 == 0), k=5, scale=256)
 
 
 ORACLE_SQL["op5_exact_top_k"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
-  FROM embeddings WHERE embedding IS NOT NULL),
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),

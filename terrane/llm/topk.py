@@ -9,131 +9,181 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of candidates and of queries that meet in one task, and candidates scored at once.
-GROUP_ROWS, QUERY_ROWS, BLOCK = 8192, 8192, 4096
+from .common import shuffle_parts
 
-#: Largest absolute component, so that no integer product of up to 2**20 of them overflows.
-COMPONENT_LIMIT = 1 << 21
+#: Queries and candidates that meet in one cell at most, queries scored together, and candidates scored at once.
+QUERY_ROWS, GROUP_ROWS, CHUNK, BLOCK = 16384, 65536, 64, 2048
+#: Cells for each task, if the table is small enough for cells below the sizes above.
+CELLS = 2
+
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
+
+
+def whole_numbers(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x), exactly: as 64-bit integers, or as Python's if a value is too large for products by scale."""
+    if x.dtype.kind == "i":
+        low, high = (int(x.min()), int(x.max())) if len(x) else (0, 0)
+        fits = max(-low, high) * scale <= _MOST
+        return x * np.int64(scale) if fits else x.astype(object) * scale
+    large = np.abs(x) >= 2.0**52  # these are whole already
+    if not large.any() and scale <= 1024:
+        return np.floor(x * scale).astype(np.int64)
+    return np.array([int(v) * scale if big else int(np.floor(v * scale)) for v, big in zip(x.tolist(), large.tolist(), strict=True)], object)
 
 
 class Postings:
-    """Inverted lists of a block of integer vectors: for each term the rows that hold it and their weights."""
+    """Inverted lists of a block of vectors, end to end in flat with offsets at: of each term the rows and weights."""
 
-    def __init__(self, vectors: list[np.ndarray]):
-        self.rows = len(vectors)
-        size = np.fromiter(map(len, vectors), np.int64, self.rows)
-        weight = np.concatenate(vectors) if self.rows else np.zeros(0, np.int64)
+    def __init__(self, flat: np.ndarray, at: np.ndarray):
+        self.rows = len(at) - 1
+        size = np.diff(at)
         row = np.repeat(np.arange(self.rows), size)
-        term = np.arange(len(weight)) - np.repeat(np.cumsum(size) - size, size)
-        there = weight != 0
+        term = np.arange(len(flat)) - np.repeat(at[:-1] - at[0], size)
+        there = flat != 0
         order = np.argsort(term[there], kind="stable")
-        self.row, self.weight = row[there][order], weight[there][order]
+        self.row, self.weight = row[there][order], flat[there][order]
         terms, first = np.unique(term[there][order], return_index=True)
         self.lists = {int(t): slice(int(a), int(b)) for t, a, b in zip(terms, first, [*first[1:], len(order)], strict=True)}
-
-    def scores(self, query: np.ndarray) -> np.ndarray:
-        """Inner products of all rows with a query, one of its terms after the other."""
-        out = np.zeros(self.rows, np.int64)
-        for t in np.flatnonzero(query).tolist():
-            if (at := self.lists.get(t)) is not None:
-                if at.stop - at.start == self.rows:
-                    out += self.weight[at] * query[t]
-                else:
-                    out[self.row[at]] += self.weight[at] * query[t]
+        self.most = max((abs(int(x)) for x in (self.weight.min(), self.weight.max())), default=0) if len(self.weight) else 0
+
+    def scores(self, queries: Postings) -> np.ndarray:
+        """Inner products of all queries with all rows, one term after the other. If no sum can pass 62 bits they are
+        64-bit integers, else Python's."""
+        exact = self.most * queries.most * max(1, len(self.lists)) >= 1 << 62
+        out = np.zeros((queries.rows, self.rows), object if exact else np.int64)
+        for t, q in queries.lists.items():
+            if (at := self.lists.get(t)) is None:
+                continue
+            row, weight, of, by = self.row[at], self.weight[at], queries.row[q], queries.weight[q]
+            if exact:
+                weight, by = weight.astype(object), by.astype(object)
+            more = by[:, None] * weight[None, :]
+            if len(row) == self.rows and len(of) == queries.rows:
+                out += more
+            else:
+                out[of[:, None], row[None, :]] += more
         return out
 
 
 def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to the smaller id: a partition first, an exact order of what is left."""
-    if len(score) > k:
-        least = np.partition(score, len(score) - k)[len(score) - k]
-        at = np.flatnonzero(score >= least)
-    else:
-        at = np.arange(len(score))
-    return at[np.lexsort((ids[at], -score[at]))][:k]
-
-
-def integer_vectors(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
-    """vec_id and v, the components as floor(scale * x) with x as double. Rows whose id or vector is null, or whose
-    vector holds a null or non-finite component, are left out. An empty vector stays: its products are 0."""
+    at = np.arange(len(score))
+    if len(score) > k > 0:
+        at = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+    if score.dtype == object:
+        return np.array(sorted(at.tolist(), key=lambda i: (-score[i], ids[i]))[:k], np.int64)
+    # ~s falls as s grows, for the least integer too.
+    return at[np.lexsort((ids[at], ~score[at]))][:k]
+
+
+def beyond(score: int) -> bytes:
+    """A key in the order of integers, for those that a long can't tell; empty for others."""
+    if _LEAST < score < _MOST:
+        return b""
+    size = (abs(score).bit_length() + 7) // 8
+    key = b"\1" + size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return key if score > 0 else b"\0" + bytes(255 - b for b in key[1:])
+
+
+def whole_vectors(vectors: DataFrame) -> DataFrame:
+    """vec_id and v, the components as doubles. Rows whose id or vector is null, or whose vector holds a null or
+    non-finite component, are left out. An empty vector stays: its products are 0. Other columns are ignored."""
     whole = F.col("v").isNotNull() & F.col("vec_id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).where(whole)
-    return rows.select("vec_id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"))
+    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).where(whole)
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, scale: int = 1) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k highest inner products of each query with all rows but its own.
 
-    rows and queries: (vec_id, v array<long>), without nulls; missing components count as 0. Scores are exact
-    integers; ties go to the smaller vec_id. A query has all rows if there are fewer than k. Rows with the id of the
-    query are its own. Queries that repeat an id count once (the first by vector); repeated candidate rows each count.
-    A component beyond COMPONENT_LIMIT is an error.
+    rows and queries: (vec_id, v array of double or long), without nulls, each component counting as floor(scale * x);
+    missing components count as 0. Products are exact integers of any size and so is their order; ties go to the
+    smaller vec_id. A score beyond the range of a long is given as the range's end. A query has all rows if there are
+    fewer than k; without rows or queries there is no result. Rows with the id of the query are its own, however many.
+    Queries that repeat an id count once (the first by vector); repeated candidate rows each count. Very long vectors
+    and other columns than those named need no care: the first take more blocks, the second are ignored.
 
-    Candidates and queries are dealt to groups by hash; every pair of a candidate group and a query group meets in one
-    task, in which the queries are held and the candidates stream past in blocks. Each task returns k rows a query.
+    Candidates and queries are dealt to groups by hash; every pair of a candidate group and a query group is a cell,
+    in which the queries are held and the candidates stream past in blocks. A task takes one cell after the other, so
+    the number of tasks follows the session's, not the number of cells. A cell returns k rows a query.
     """
     spark = rows.sparkSession
-    n, q = rows.count(), queries.count()
-    groups, query_groups = -(-max(n, 1) // GROUP_ROWS), -(-max(q, 1) // QUERY_ROWS)
-    hold = "cell int, kind int, vec_id long, v array<long>"
-    cell = lambda a, b: (a * query_groups + b).cast("int")
-    c = rows.withColumn("g", F.pmod(F.xxhash64("vec_id", "v"), F.lit(groups))).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(query_groups - 1))))
-    p = queries.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(query_groups))).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    both = c.select(cell(F.col("g"), F.col("o")).alias("cell"), F.lit(1).alias("kind"), "vec_id", "v").unionByName(p.select(cell(F.col("o"), F.col("g")).alias("cell"), F.lit(0).alias("kind"), "vec_id", "v"))
-    both = both.repartition(groups * query_groups, "cell").sortWithinPartitions("cell", "kind", "vec_id", "v")
-    assert both.schema.simpleString().count(":") == hold.count(",") + 1
+    n, q, parts = rows.count(), queries.count(), shuffle_parts(rows.sparkSession)
+    query_groups = -(-max(q, 1) // QUERY_ROWS)
+    groups = max(-(-max(n, 1) // GROUP_ROWS), min(-(-CELLS * parts // query_groups), -(-max(n, 1) // BLOCK)))
+    cells = groups * query_groups
+    c = rows.select("vec_id", "v").withColumn("g", F.pmod(F.xxhash64("vec_id", "v"), F.lit(groups))).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(query_groups - 1))))
+    p = queries.select("vec_id", "v").withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(query_groups))).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    cell = lambda a, b: (F.col(a) * query_groups + F.col(b)).cast("long").alias("cell")
+    both = c.select(cell("g", "o"), F.lit(1).alias("kind"), "vec_id", "v").unionByName(p.select(cell("o", "g"), F.lit(0).alias("kind"), "vec_id", "v"))
+    both = both.repartition(min(cells, CELLS * parts), "cell").sortWithinPartitions("cell", "kind", "vec_id", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        ids: list[int] = []
+        vectors: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, Postings]] = []
         top: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        block: list[tuple[int, np.ndarray]] = []
-        now = None
-
-        def score() -> None:
-            if not block:
+        waiting, now, last = 0, None, None  # values in vectors; the cell; kind of the last row
+
+        def take() -> tuple[np.ndarray, Postings]:
+            nonlocal waiting
+            flat = np.concatenate([np.zeros(0, vectors[0].dtype), *vectors])
+            out = np.array(ids, np.int64), Postings(whole_numbers(flat, scale), np.r_[0, np.cumsum([len(v) for v in vectors])].astype(np.int64))
+            ids.clear()
+            vectors.clear()
+            waiting = 0
+            return out
+
+        def flush() -> None:
+            if not ids:
+                return
+            own, postings = take()
+            if not last:  # queries
+                held.append((own, postings))
+                top.update((i, (np.zeros(0, np.int64), np.zeros(0, np.int64))) for i in own.tolist())
                 return
-            ids = np.array([i for i, _ in block], np.int64)
-            postings = Postings([v for _, v in block])
-            block.clear()
-            for query, v in held.items():
-                s = postings.scores(v)
-                keep = best(s, ids, k + 1)
-                keep = keep[ids[keep] != query] if (ids[keep] != query).sum() >= k or len(s) <= k + 1 else best(np.where(ids == query, np.iinfo(np.int64).min, s), ids, k)
-                keep = keep[ids[keep] != query]
-                old = top[query]
-                s, j = np.r_[old[0], s[keep]], np.r_[old[1], ids[keep]]
-                at = best(s, j, k)
-                top[query] = s[at], j[at]
+            for asked, chunk in held:
+                found = postings.scores(chunk)
+                for s, query in zip(found, asked.tolist(), strict=True):
+                    other = own != query
+                    j = own
+                    if not other.all():
+                        s, j = s[other], own[other]
+                    keep = best(s, j, k)
+                    old, before = top[query]
+                    s, j = np.concatenate([old, s[keep]]), np.r_[before, j[keep]]
+                    keep = best(s, j, k)
+                    top[query] = s[keep], j[keep]
 
         def finish() -> Iterator[pa.RecordBatch]:
-            score()
-            rows_ = [(query, int(a), int(b)) for query, (s, j) in top.items() for a, b in zip(j, s, strict=True)]
+            flush()
+            rows_ = [(query, int(b), min(max(int(a), _LEAST), _MOST), beyond(int(a))) for query, (s, j) in top.items() for a, b in zip(s.tolist(), j.tolist(), strict=True)]
             held.clear()
             top.clear()
             if rows_:
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*rows_, strict=True)], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows_, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["query_id", "vec_id", "score", "beyond"])
 
         for b in batches:
             values = b.column("v")
             flat, at = np.asarray(values.flatten()), np.r_[0, np.cumsum(np.asarray(values.value_lengths()))].astype(np.int64)
-            if len(flat) and np.abs(flat).max() > COMPONENT_LIMIT:
-                raise ValueError(f"a component is beyond {COMPONENT_LIMIT}")
             for r, (c_, kind, vec_id) in enumerate(zip(b.column("cell").to_pylist(), b.column("kind").to_pylist(), b.column("vec_id").to_pylist(), strict=True)):
                 if c_ != now:
                     yield from finish()
-                    now = c_
+                    now, last = c_, kind
+                elif kind != last or len(ids) >= (BLOCK if kind else CHUNK) or waiting > 1 << 21:
+                    flush()
+                    last = kind
+                if not kind:
+                    if vec_id in top or (ids and ids[-1] == vec_id):  # repeats stand together
+                        continue
+                elif not held:
+                    continue
                 v = flat[at[r] : at[r + 1]]
-                if kind == 0:
-                    if vec_id not in held:
-                        held[vec_id] = v
-                        top[vec_id] = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                elif held:
-                    block.append((vec_id, v))
-                    if len(block) >= BLOCK:
-                        score()
+                ids.append(vec_id)
+                vectors.append(v)
+                waiting += len(v)
         yield from finish()
 
-    found = both.mapInArrow(run, "query_id long, vec_id long, score long")
+    found = both.mapInArrow(run, "query_id long, vec_id long, score long, beyond binary")
     # At most k rows for each query and candidate group reach the window.
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("beyond").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

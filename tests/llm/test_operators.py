@@ -278,28 +278,63 @@ def brute_top(rows, queries, k=5):
     return sorted(out)
 
 
+def tops(rows, queries, **options):
+    return sorted((x.query_id, x.rank, x.vec_id, x.score) for x in topk.top_k(rows, queries, **options).collect())
+
+
 def test_top_k(spark):
     r = np.random.default_rng(2)
     rows = [(i, r.integers(-3, 4, int(r.integers(0, 6))).astype(float).tolist()) for i in range(300)]
     rows += [(400, None), (401, [1.0, None]), (402, [1.0, float("nan")]), (403, [float("inf")]), (None, [1.0]), (404, []), (405, [0.3, -0.3])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit("own")).withColumn("cell", F.lit(1))
-    whole = topk.integer_vectors(df)
+    whole = topk.whole_vectors(df)
     plain = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in topk.top_k(whole, whole.where("vec_id % 50 = 0 or vec_id > 403")).collect())
+    got = tops(whole, whole.where("vec_id % 50 = 0 or vec_id > 403"), scale=256)
     assert got == brute_top(plain, [(i, v) for i, v in plain if i % 50 == 0 or i > 403])
     few = whole.where("vec_id < 3")
     assert topk.top_k(few, few).count() == 6
     assert topk.top_k(whole.limit(0), whole.limit(0)).count() == 0
+    assert topk.top_k(whole, whole.limit(0)).count() == 0 and topk.top_k(whole.limit(0), few).count() == 0
 
 
-def test_top_k_in_several_groups(spark, monkeypatch):
-    monkeypatch.setattr(topk, "GROUP_ROWS", 70)
-    monkeypatch.setattr(topk, "QUERY_ROWS", 20)
+@pytest.mark.parametrize(("query_rows", "group_rows", "block"), [(20, 70, 16), (16384, 65536, 2048)])
+def test_top_k_in_several_groups(spark, monkeypatch, query_rows, group_rows, block):
+    monkeypatch.setattr(topk, "QUERY_ROWS", query_rows)
+    monkeypatch.setattr(topk, "GROUP_ROWS", group_rows)
+    monkeypatch.setattr(topk, "BLOCK", block)
     r = np.random.default_rng(3)
     rows = [(i, r.integers(-50, 50, 16).tolist()) for i in range(400)]
     df = spark.createDataFrame(rows, "vec_id long, v array<long>")
-    got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in topk.top_k(df, df.where("vec_id % 7 = 0")).collect())
-    assert got == brute_top(rows, [x for x in rows if x[0] % 7 == 0])
+    assert tops(df, df.where("vec_id % 7 = 0")) == brute_top(rows, [x for x in rows if x[0] % 7 == 0])
+
+
+def test_top_k_of_repeated_ids(spark):
+    """Rows with the query's id are its own, however many there are and however high they score."""
+    rows = [(50, [9 + i]) for i in range(7)] + [(1, [3]), (2, [2]), (3, [1])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    assert tops(df, df.where("vec_id = 50")) == [(50, 1, 1, 27), (50, 2, 2, 18), (50, 3, 3, 9)]
+    rows = [(i % 5, [i % 3, i]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    want = brute_top(rows, [(i, min(v for j, v in rows if j == i)) for i in range(5)])
+    assert tops(df, df) == want
+
+
+@pytest.mark.parametrize("size", [9000.0, 1e6, 3e9, 1e16, 1e100, 1.7e308])
+def test_top_k_of_large_components(spark, size):
+    """Products are exact at any size; a score that a long can't hold is its end, but the order is still that of the products."""
+    r = np.random.default_rng(4)
+    rows = [(i, (r.choice([-1, 1], 3) * r.random(3) * size).tolist()) for i in range(60)]
+    rows += [(60, [size, size, size]), (61, [0.5, 0.25, 0.0]), (62, [-size, 1.0])]
+    df = topk.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    from fractions import Fraction
+    from math import floor
+
+    plain = [(i, [floor(256 * Fraction(x)) for x in v]) for i, v in rows]
+    clip = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    want = [(a, b, c, clip(s)) for a, b, c, s in brute_top(plain, [x for x in plain if x[0] % 50 == 0 or x[0] > 59], 40)]
+    assert tops(df, df.where("vec_id % 50 = 0 or vec_id > 59"), k=40, scale=256) == want
+    if size < 1e7:
+        assert not any(abs(s) >= 1 << 62 for *_, s in want)
 
 
 # 6
