@@ -379,6 +379,43 @@ def test_mix(spark, nasty, nothing, sample):
     assert mixing.mix(nothing).count() == 0 and mixing.mixed_documents(nothing).count() == 0
 
 
+def test_mix_splits_repeated_rows(spark, monkeypatch):
+    """Rows that are equal share a hash; so many of them are taken as the target asks for."""
+    rows = [(1, "w " * 10, "a")] * 100 + [(10 + i, f"w{i} " * 10, "b") for i in range(100)] + [(200 + i % 2, "x " * 7, None) for i in range(301)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    for bits in (12, 1):  # 1: almost all rows lie in the last bucket
+        monkeypatch.setattr(mixing, "LEVEL_BITS", bits)
+        monkeypatch.setattr(mixing, "_BITS", bits * mixing.LEVELS)
+        got = mixing.mix(df).collect()
+        assert len(got) == len(rows)
+        taken = defaultdict(int)
+        for r in got:
+            taken[r.source_size, r.size] += r.taken
+            assert r.taken <= 3 * r.size
+        want = brute_targets({"a": 1000, "b": 1000, None: 2107})
+        assert abs(sum(r.taken for r in got if r.doc_id == 1) - want["a"]) <= 5
+        assert abs(sum(r.taken for r in got if 10 <= r.doc_id < 200) - want["b"]) <= 5
+        assert abs(sum(r.taken for r in got if r.doc_id >= 200) - want[None]) <= 3.5
+        whole = mixing.mixed_documents(df)
+        n = lambda d: sorted((r.doc_id, r.c) for r in d.groupBy("doc_id").agg(F.count("*").alias("c")).collect())
+        plan = defaultdict(int)
+        for r in got:
+            plan[r.doc_id] += r.copies
+        assert n(whole) == sorted((k, v) for k, v in plan.items() if v)
+
+
+@pytest.mark.parametrize("block", [1 << 14, 3])
+def test_targets_of_many_sources(spark, monkeypatch, block):
+    monkeypatch.setattr(mixing, "SOURCES", block)
+    r = random.Random(4)
+    sizes = {f"s{i}é" if i % 3 else f"S{i}": r.choice([0, 1, 5, 100, 3000, r.randint(0, 50)]) for i in range(60)} | {None: 40}
+    got = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    want = brute_targets(sizes)
+    assert {x.source: x.source_size for x in got} == sizes
+    for x in got:
+        assert x.target == pytest.approx(want[x.source])
+
+
 def test_mixed_documents(nasty):
     _, df = nasty
     out = mixing.mixed_documents(df)
