@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word: a run of bytes that are no ASCII white space.
@@ -155,10 +156,30 @@ def prefix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, inverse
 
 
+#: Bytes of a span that are hashed in numpy, eight at a time; longer spans are few and go through xxhash.
+_SHORT = 64
+
+
 def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] for each pair; data: bytes."""
-    sums, inverse = prefix(_BYTE[data])
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(_U))
+    """64-bit hashes of data[start:end] for each pair; data: bytes. No sums of powers: every eight bytes are mixed into
+    what came before, so that regular words don't collide."""
+    size = end - start
+    out = mix(size.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(1))
+    if not len(size):
+        return out
+    wide = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    live = np.flatnonzero((size > 0) & (size <= _SHORT))
+    for done in range(0, _SHORT, 8):
+        live = live[size[live] > done]
+        if not len(live):
+            break
+        eight = wide[start[live] + done].view(_U).ravel()
+        spare = (np.maximum(8 - (size[live] - done), 0) * 8).astype(_U)
+        out[live] = mix(out[live] ^ mix((eight << spare) + _U(0xD6E8FEB86659FD93)))
+    long = np.flatnonzero(size > _SHORT)
+    if len(long):
+        out[long] = [xxhash.xxh3_64_intdigest(data[s:e].tobytes()) for s, e in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return out
 
 
 def rolling_hash(values: np.ndarray, k: int) -> np.ndarray:
