@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import shuffle_parts
 
 #: Queries and candidates that meet in one cell at most, queries scored together, and candidates scored at once.
-QUERY_ROWS, GROUP_ROWS, CHUNK, BLOCK = 16384, 65536, 64, 2048
+QUERY_ROWS, GROUP_ROWS, CHUNK, BLOCK = 16384, 65536, 32, 2048
 #: Cells for each task, if the table is small enough for cells below the sizes above.
 CELLS = 2
 
@@ -47,33 +47,53 @@ class Postings:
         self.most = max((abs(int(x)) for x in (self.weight.min(), self.weight.max())), default=0) if len(self.weight) else 0
 
     def scores(self, queries: Postings) -> np.ndarray:
-        """Inner products of all queries with all rows, one term after the other. If no sum can pass 62 bits they are
-        64-bit integers, else Python's."""
-        exact = self.most * queries.most * max(1, len(self.lists)) >= 1 << 62
-        out = np.zeros((queries.rows, self.rows), object if exact else np.int64)
+        """Inner products of all queries with all rows, one term after the other: doubles if no sum can pass 53 bits, which
+        they hold exactly, else 64-bit integers if none can pass 62, else Python's."""
+        most = self.most * queries.most * max(1, len(self.lists))
+        kind = np.float64 if most < 1 << 53 else np.int64 if most < 1 << 62 else object
+        out, more = np.zeros((queries.rows, self.rows), kind), np.empty((queries.rows, self.rows), kind)
         for t, q in queries.lists.items():
             if (at := self.lists.get(t)) is None:
                 continue
-            row, weight, of, by = self.row[at], self.weight[at], queries.row[q], queries.weight[q]
-            if exact:
-                weight, by = weight.astype(object), by.astype(object)
-            more = by[:, None] * weight[None, :]
+            row, of = self.row[at], queries.row[q]
+            weight, by = self.weight[at].astype(kind, copy=False), queries.weight[q].astype(kind, copy=False)
             if len(row) == self.rows and len(of) == queries.rows:
-                out += more
+                np.multiply(by[:, None], weight[None, :], out=more)
+                np.add(out, more, out=out)
             else:
-                out[of[:, None], row[None, :]] += more
+                out[of[:, None], row[None, :]] += by[:, None] * weight[None, :]
         return out
 
 
-def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to the smaller id: a partition first, an exact order of what is left."""
-    at = np.arange(len(score))
-    if len(score) > k > 0:
-        at = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
-    if score.dtype == object:
-        return np.array(sorted(at.tolist(), key=lambda i: (-score[i], ids[i]))[:k], np.int64)
-    # ~s falls as s grows, for the least integer too.
-    return at[np.lexsort((ids[at], ~score[at]))][:k]
+class Top:
+    """The k highest scores so far of each query of a chunk, as (score, id), ties to the smaller id."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.found: list[list[tuple[int, int]]] = [[] for _ in range(len(queries))]
+        self.least: list[int | None] = [None] * len(queries)
+
+    def add(self, score: np.ndarray, ids: np.ndarray) -> None:
+        """score: (queries, rows). A row with the query's id is its own and doesn't count."""
+        # Scores that aren't Python's lie within 62 bits; a bound beyond may be cut to that.
+        end = 1 << 62
+        if score.dtype == object:
+            least = np.array([-np.inf if v is None else v for v in self.least], object)
+        else:
+            least = np.array([-end if v is None else min(max(v, -end), end) for v in self.least], score.dtype)
+        able = score >= least[:, None]
+        if np.isin(self.queries, ids).any():
+            able &= self.queries[:, None] != ids[None, :]
+        for q in np.flatnonzero(able.any(1)).tolist():
+            at = np.flatnonzero(able[q])
+            s = score[q, at]
+            if len(at) > self.k:  # a partition first, an exact order of what is left
+                high = s >= np.partition(s, len(s) - self.k)[len(s) - self.k]
+                at, s = at[high], s[high]
+            both = sorted([(-int(v), i) for v, i in zip(s.tolist(), ids[at].tolist(), strict=True)] + [(-v, i) for v, i in self.found[q]])
+            self.found[q] = [(-v, i) for v, i in both[: self.k]]
+            if len(both) >= self.k:
+                self.least[q] = self.found[q][-1][0]
 
 
 def beyond(score: int) -> bytes:
@@ -120,45 +140,30 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, scale: int = 1) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
         vectors: list[np.ndarray] = []
-        held: list[tuple[np.ndarray, Postings]] = []
-        top: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held: list[tuple[Postings, Top]] = []
+        seen: set[int] = set()
         waiting, now, last = 0, None, None  # values in vectors; the cell; kind of the last row
 
-        def take() -> tuple[np.ndarray, Postings]:
+        def flush() -> None:
             nonlocal waiting
-            flat = np.concatenate([np.zeros(0, vectors[0].dtype), *vectors])
-            out = np.array(ids, np.int64), Postings(whole_numbers(flat, scale), np.r_[0, np.cumsum([len(v) for v in vectors])].astype(np.int64))
+            if not ids:
+                return
+            own, at = np.array(ids, np.int64), np.r_[0, np.cumsum([len(v) for v in vectors])].astype(np.int64)
+            postings = Postings(whole_numbers(np.concatenate(vectors), scale), at)
             ids.clear()
             vectors.clear()
             waiting = 0
-            return out
-
-        def flush() -> None:
-            if not ids:
-                return
-            own, postings = take()
-            if not last:  # queries
-                held.append((own, postings))
-                top.update((i, (np.zeros(0, np.int64), np.zeros(0, np.int64))) for i in own.tolist())
+            if not last:
+                held.append((postings, Top(own, k)))
                 return
-            for asked, chunk in held:
-                found = postings.scores(chunk)
-                for s, query in zip(found, asked.tolist(), strict=True):
-                    other = own != query
-                    j = own
-                    if not other.all():
-                        s, j = s[other], own[other]
-                    keep = best(s, j, k)
-                    old, before = top[query]
-                    s, j = np.concatenate([old, s[keep]]), np.r_[before, j[keep]]
-                    keep = best(s, j, k)
-                    top[query] = s[keep], j[keep]
+            for chunk, top in held:
+                top.add(postings.scores(chunk), own)
 
         def finish() -> Iterator[pa.RecordBatch]:
             flush()
-            rows_ = [(query, int(b), min(max(int(a), _LEAST), _MOST), beyond(int(a))) for query, (s, j) in top.items() for a, b in zip(s.tolist(), j.tolist(), strict=True)]
+            rows_ = [(query, i, min(max(v, _LEAST), _MOST), beyond(v)) for _, top in held for query, found in zip(top.queries.tolist(), top.found, strict=True) for v, i in found]
             held.clear()
-            top.clear()
+            seen.clear()
             if rows_:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows_, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["query_id", "vec_id", "score", "beyond"])
 
@@ -173,8 +178,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, scale: int = 1) -> Da
                     flush()
                     last = kind
                 if not kind:
-                    if vec_id in top or (ids and ids[-1] == vec_id):  # repeats stand together
+                    if vec_id in seen:
                         continue
+                    seen.add(vec_id)
                 elif not held:
                     continue
                 v = flat[at[r] : at[r + 1]]

@@ -319,6 +319,22 @@ def test_top_k_of_repeated_ids(spark):
     assert tops(df, df) == want
 
 
+def test_top_of_mixed_sizes():
+    """Blocks of doubles, 64-bit integers and Python's integers, one after the other."""
+    r = np.random.default_rng(5)
+    blocks = [r.integers(-b, b, (3, 40)).astype(k) for b, k in ((100, float), (1 << 61, np.int64), (100, float), (1 << 61, np.int64))]
+    huge = np.array([[int(x) * 10**400 for x in row] for row in r.integers(-9, 9, (3, 10))], object)
+    for order in ([0, 1, 2, 3, 4], [4, 3, 2, 1, 0], [2, 4, 0, 1, 3]):
+        every = [*blocks, huge]
+        top, seen = topk.Top(np.array([7, 500, 50]), 5), [[], [], []]
+        for n, b in enumerate(order):
+            ids = np.arange(every[b].shape[1]) * 5 + n
+            top.add(every[b], ids)
+            for q, own in enumerate((7, 500, 50)):
+                seen[q] += [(-int(v), i) for v, i in zip(every[b][q].tolist(), ids.tolist(), strict=True) if i != own]
+        assert top.found == [[(-v, i) for v, i in sorted(x)[:5]] for x in seen]
+
+
 @pytest.mark.parametrize("size", [9000.0, 1e6, 3e9, 1e16, 1e100, 1.7e308])
 def test_top_k_of_large_components(spark, size):
     """Products are exact at any size; a score that a long can't hold is its end, but the order is still that of the products."""
