@@ -117,6 +117,13 @@ def ordered_neighbors(ordered: DataFrame, m: int) -> DataFrame:
     return _with_self(nearest(q, ordered.select(F.col("pos").alias("nbr"), "coords"), m, dense=True), ordered)
 
 
+def line_neighbors(ordered: DataFrame, m: int) -> DataFrame:
+    """ordered_neighbors of points in ascending order of one coordinate: the m before each, the later of equals first. A
+    projection: no rows move."""
+    lags = F.sequence(F.lit(0), F.least(F.col("pos"), F.lit(m)).cast("int"))
+    return ordered.select("pos", F.explode(lags).alias("slot")).select("pos", "slot", (F.col("pos") - F.col("slot")).alias("nbr_pos"))
+
+
 def plain_neighbors(points: DataFrame, k: int, key: str = "loc_id") -> DataFrame:
     """query, slot, nbr, dist: the k nearest other points."""
     q = points.select(F.col(key).alias("query"), "coords", F.lit(None).cast("long").alias("before"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,15 +19,12 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..functions.kernels import Model
 from ..functions.linalg import incomplete_cholesky
-from ..functions.conditional import Posterior, Rows, u_columns
+from ..functions.conditional import Posterior, Rows, u_columns, u_of_covariances
 from ..sources.storage import in_one_task
 from .specify import Plan
 
 Covariance = Model | DataFrame
 
-#: Predicted points up to which variances come from the full recursion by default.
-EXACT_VARIANCES = 40_000
-
 
 def observations(plan: Plan, values: DataFrame, nugget: float | None) -> DataFrame:
     """loc_id, z, nugget. Missing nuggets beside given ones belong to missing observations."""
@@ -43,10 +41,13 @@ def _rows(p: pd.DataFrame, response_first: bool) -> tuple[pd.DataFrame, Rows]:
     return p, Rows(np.stack(p["coords"].to_numpy()), p["is_obs"].to_numpy(bool), nbr, on, response_first)
 
 
-def run(plan: Plan, values: DataFrame, nugget: float | None, body: Callable[[pd.DataFrame, Rows, np.ndarray, np.ndarray], pd.DataFrame], schema: str, covariances: DataFrame | None = None) -> DataFrame:
+def run(plan: Plan, values: DataFrame, nugget: float | None, body: Callable[[pd.DataFrame, Rows, np.ndarray, np.ndarray], pd.DataFrame], schema: str, entries: DataFrame | None = None) -> DataFrame:
     """body(points, rows, z, nugget) in one task over all rows of a plan: for what solves with the factor of the whole
-    precision matrix, which is sequential."""
+    precision matrix, which is sequential. entries: (pos, slot, value), which the points then hold as lists u."""
     rows = plan.packed().join(observations(plan, values, nugget), "loc_id", "left")
+    if entries is not None:
+        lists = entries.groupBy("pos").agg(F.sort_array(F.collect_list(F.struct("slot", "value"))).alias("e")).select("pos", F.col("e.value").alias("u"))
+        rows = rows.join(lists, "pos")
     first = plan.response_first
 
     def whole(p: pd.DataFrame) -> pd.DataFrame:
@@ -56,26 +57,11 @@ def run(plan: Plan, values: DataFrame, nugget: float | None, body: Callable[[pd.
     return in_one_task(rows, whole, schema)
 
 
-def _dense(table: pd.DataFrame, ids: np.ndarray) -> np.ndarray:
-    place = pd.Series(np.arange(len(ids)), index=ids)
-    out = np.zeros((len(ids), len(ids)))
-    i, j = place.loc[table["row_id"]].to_numpy(), place.loc[table["col_id"]].to_numpy()
-    out[i, j] = table["value"]
-    out[j, i] = table["value"]
-    return out
-
-
-def model_of(model: Covariance) -> Model:
-    """Tables of covariances become functions by way of the location ids that `covariance_at_pattern` joins on; here only
-    names and functions of locations are left."""
-    if isinstance(model, DataFrame):
-        raise TypeError("a table of covariances is evaluated with covariance_at_pattern and u_from_covariances")
-    return model
-
-
-def u_entries(plan: Plan, parameters: Sequence[float], nugget: float | None = 0.0, model: Model = "matern", values: DataFrame | None = None) -> DataFrame:
+def u_entries(plan: Plan, parameters: Sequence[float], nugget: float | None = 0.0, model: Covariance = "matern", values: DataFrame | None = None) -> DataFrame:
     """pos, slot, nbr_pos, on_latent, value: the entries of U's columns of latent values, computed row by row of the plan in
-    all tasks. A row's work doesn't depend on the number of points."""
+    all tasks. A row's work doesn't depend on the number of points. model may be a table of covariances."""
+    if isinstance(model, DataFrame):
+        return _u_of_table(plan, model, nugget, values)
     if not callable(model):
         kernels.check(model, parameters)
     zero = plan.ordered.select("loc_id", F.lit(0.0).alias("z"), F.lit(float(nugget or 0.0)).alias("nugget"))
@@ -94,6 +80,80 @@ def u_entries(plan: Plan, parameters: Sequence[float], nugget: float | None = 0.
     return rows.mapInArrow(work, "pos long, slot int, nbr_pos long, on_latent boolean, value double")
 
 
+def _u_of_table(plan: Plan, table: DataFrame, nugget: float | None, values: DataFrame | None) -> DataFrame:
+    """u_entries from a table (row_id, col_id, value) of covariances by loc_id, one triangle or both; absent ones are 0.
+
+    Each pair of a row's neighbours is looked up by an equi-join, (m + 1)(m + 2) / 2 of them a row, and the row's matrix
+    put together and solved where it arrives. Only the part of the table that the plan needs moves on.
+    """
+    zero = plan.ordered.select("loc_id", F.lit(0.0).alias("z"), F.lit(float(nugget or 0.0)).alias("nugget"))
+    noise = observations(plan, values, nugget) if values is not None else zero
+    ids = plan.ordered.select(F.col("pos").alias("nbr_pos"), "loc_id").join(noise.select("loc_id", F.coalesce("nugget", F.lit(0.0)).alias("nugget")), "loc_id", "left")
+    own = plan.flags.join(ids, "nbr_pos").select("pos", "slot", "nbr_pos", "on_latent", "loc_id", F.coalesce("nugget", F.lit(0.0)).alias("nugget"))
+    sets = own.groupBy("pos").agg(F.sort_array(F.collect_list(F.struct("slot", "nbr_pos", "on_latent", "nugget", "loc_id"))).alias("s"))
+    a = sets.select("pos", F.posexplode("s").alias("a", "x"), "s").select("pos", "a", F.col("x.loc_id").alias("i"), F.posexplode("s").alias("b", "y"))
+    pairs = a.where("a <= b").select("pos", "a", "b", F.least("i", "y.loc_id").alias("i"), F.greatest("i", "y.loc_id").alias("j"))
+    known = table.select(F.least("row_id", "col_id").alias("i"), F.greatest("row_id", "col_id").alias("j"), "value").groupBy("i", "j").agg(F.first("value").alias("cov"))
+    found = pairs.join(known, ["i", "j"]).groupBy("pos").agg(F.collect_list(F.struct("a", "b", "cov")).alias("c"))
+    rows = sets.join(found, "pos").select("pos", "s", "c")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            size = np.asarray(b.column("s").value_lengths())
+            n, k = b.num_rows, int(size.max())
+            flat = b.column("s").flatten()
+            row = np.repeat(np.arange(n), size)
+            slot = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            nbr, on, noise_ = np.full((n, k), -1), np.zeros((n, k), bool), np.zeros((n, k))
+            nbr[row, slot] = np.asarray(flat.field("nbr_pos"))
+            noise_[row, slot] = np.asarray(flat.field("nugget"))
+            on[row, slot] = flat.field("on_latent").to_numpy(zero_copy_only=False)
+            on |= noise_ == 0
+            c = b.column("c").flatten()
+            of = np.repeat(np.arange(n), np.asarray(b.column("c").value_lengths()))
+            full = np.zeros((n, k, k))
+            i, j, v = (np.asarray(c.field(f)) for f in ("a", "b", "cov"))
+            full[of, i, j] = v
+            full[of, j, i] = v
+            pos = np.asarray(b.column("pos"))
+            value = u_of_covariances(lambda r, m: full[r][:, :m, :m], nbr, on, noise_, pos)  # noqa: B023
+            r, at = np.nonzero(nbr >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(pos[r]), pa.array(at.astype(np.int32)), pa.array(nbr[r, at]), pa.array(on[r, at]), pa.array(value[r, at])], ["pos", "slot", "nbr_pos", "on_latent", "value"])
+
+    return rows.mapInArrow(work, "pos long, slot int, nbr_pos long, on_latent boolean, value double")
+
+
+def u_table(plan: Plan, parameters: Sequence[float], nugget: float | None, model: Covariance = "matern", values: DataFrame | None = None) -> DataFrame:
+    """row, col, value: all of U, numbered as plan.index() does: the columns of latent values from u_entries, and for every
+    observation with noise its response's column, with -1 and 1 over the noise's standard deviation."""
+    index = plan.index()
+    noise = observations(plan, values, nugget) if values is not None else plan.ordered.select("loc_id", F.lit(float(nugget or 0.0)).alias("nugget"))
+    seen = plan.ordered.where("is_obs").select("pos", "loc_id").join(noise.select("loc_id", "nugget"), "loc_id").where("nugget > 0").select("pos", (1 / F.sqrt("nugget")).alias("root"))
+    own = index.select("pos", F.col("latent_ix").alias("col"))
+    near = index.select(F.col("pos").alias("nbr_pos"), F.col("latent_ix"), F.col("obs_ix"))
+    latent = u_entries(plan, parameters, nugget, model, values).join(near, "nbr_pos").join(own, "pos")
+    latent = latent.select(F.when(F.col("on_latent") | F.col("obs_ix").isNull(), F.col("latent_ix")).otherwise(F.col("obs_ix")).alias("row"), "col", "value")
+    both = F.array(F.struct(F.col("latent_ix").alias("row"), (-F.col("root")).alias("value")), F.struct(F.col("obs_ix").alias("row"), F.col("root").alias("value")))
+    response = index.join(seen, "pos").select(F.col("obs_ix").alias("col"), F.explode(both).alias("e")).select("e.row", "col", "e.value")
+    return latent.unionByName(response)
+
+
+def _of_table(plan: Plan, values: DataFrame, nugget: float | None, model: Covariance, parameters: Sequence[float]):
+    """Entries for run() where the model is a table, and how a Posterior is made from a task's points."""
+    if not isinstance(model, DataFrame):
+        return None, lambda p, rows, z, noise: Posterior(rows, z, noise, model, parameters)
+
+    def posterior(p: pd.DataFrame, rows: Rows, z: np.ndarray, noise: np.ndarray) -> Posterior:
+        u = np.zeros(rows.nbr.shape)
+        for i, own in enumerate(p["u"]):
+            u[i, : len(own)] = own
+        return Posterior(rows, z, noise, None, (), u)
+
+    return u_entries(plan, (), nugget, model, values), posterior
+
+
 def _unpack(b: pa.RecordBatch):
     """Padded arrays of a batch of with_neighbors rows: pos, nbr, on_latent, coords, z, nugget, is_obs."""
     s = b.column("s")
@@ -141,36 +201,64 @@ def loglik_rows(plan: Plan, values: DataFrame, parameters: Sequence[Sequence[flo
     return rows.mapInArrow(work, "theta int, pos long, part double")
 
 
-def loglik(plan: Plan, values: DataFrame, parameters: Sequence[float], nugget: float | None, model: Model = "matern") -> DataFrame:
+def loglik(plan: Plan, values: DataFrame, parameters: Sequence[float], nugget: float | None, model: Covariance = "matern") -> DataFrame:
     """One row (loglik). Missing z are imputed with a very large noise. For the rule z without missing values and noise of
     one size the sum of loglik_rows, in all tasks; else one task factors the precision matrix."""
-    if not callable(model):
+    table = isinstance(model, DataFrame)
+    if not callable(model) and not table:
         kernels.check(model, parameters)
     if plan.cond_yz == "zy":
         import warnings
 
         warnings.warn("response-first plans are made for prediction: their likelihood is poor", stacklevel=2)
-    if plan.cond_yz == "z" and nugget and not plan.n_pred and not values.where("z is null").limit(1).count():
+    if plan.cond_yz == "z" and nugget and not table and not plan.n_pred and not values.where("z is null").limit(1).count():
         return loglik_rows(plan, values, [parameters], [nugget], model).agg(F.sum("part").alias("loglik"))
 
+    entries, posterior = _of_table(plan, values, nugget, model, parameters)
+
     def body(p, rows, z, noise):
-        return pd.DataFrame({"loglik": [Posterior(rows, z, noise, model, parameters).loglik()]})
+        return pd.DataFrame({"loglik": [posterior(p, rows, z, noise).loglik()]})
 
-    return run(plan, values, nugget, body, "loglik double")
+    return run(plan, values, nugget, body, "loglik double", entries)
 
 
-def predict(plan: Plan, values: DataFrame, parameters: Sequence[float], nugget: float | None, model: Model = "matern", returns: str = "meanvar") -> DataFrame:
-    """loc_id, is_obs, mean[, var] of the latent values given the data; returns: mean or meanvar. Observations without noise
-    are their own mean, with variance 0."""
-    if returns not in ("mean", "meanvar"):
-        raise ValueError("returns is mean or meanvar")
+@dataclass
+class Prediction:
+    """table: loc_id, is_obs, mean[, var]; u: row, col, value of U, numbered as the plan's index; v: row, col, value (row <=
+    col) of the factor V of the latent values' precision V V' given the data, by pos."""
+
+    table: DataFrame
+    u: DataFrame
+    v: DataFrame
+
+
+def predict(plan: Plan, values: DataFrame, parameters: Sequence[float], nugget: float | None, model: Covariance = "matern", returns: str = "meanvar") -> DataFrame | Prediction:
+    """loc_id, is_obs, mean[, var] of the latent values given the data; returns: mean, meanvar, or with the matrices meanmat
+    or all. Observations without noise are their own mean, with variance 0. Variances are exact at any number of points."""
+    if returns not in ("mean", "meanvar", "meanmat", "all"):
+        raise ValueError("returns is mean, meanvar, meanmat or all")
+    entries, posterior = _of_table(plan, values, nugget, model, parameters)
+    var = returns in ("meanvar", "all")
 
     def body(p, rows, z, noise):
-        post = Posterior(rows, z, noise, model, parameters)
+        post = posterior(p, rows, z, noise)
         out = {"loc_id": p["loc_id"], "is_obs": p["is_obs"], "mean": post.mean()}
-        return pd.DataFrame(out | ({"var": post.variance()} if returns == "meanvar" else {}))
+        return pd.DataFrame(out | ({"var": post.variance()} if var else {}))
+
+    table = run(plan, values, nugget, body, "loc_id long, is_obs boolean, mean double" + (", var double" if var else ""), entries)
+    if returns in ("mean", "meanvar"):
+        return table
+
+    def factor(p, rows, z, noise):
+        post = posterior(p, rows, z, noise)
+        pos, f = p["pos"].to_numpy()[post.hidden], post.factor
+        if f is None:
+            return pd.DataFrame({"row": np.zeros(0, np.int64), "col": np.zeros(0, np.int64), "value": np.zeros(0)})
+        size = [len(i) for i in f.index]
+        row, col = np.concatenate([np.arange(f.n), *f.index]).astype(np.int64), np.r_[np.arange(f.n), np.repeat(np.arange(f.n), size)]
+        return pd.DataFrame({"row": pos[row], "col": pos[col], "value": np.concatenate([f.diagonal, *f.value])})
 
-    return run(plan, values, nugget, body, "loc_id long, is_obs boolean, mean double" + (", var double" if returns == "meanvar" else ""))
+    return Prediction(table, u_table(plan, parameters, nugget, model, values), run(plan, values, nugget, factor, "row long, col long, value double", entries))
 
 
 def combinations(plan: Plan, values: DataFrame, weights: DataFrame, parameters: Sequence[float], nugget: float | None, model: Model = "matern", full: bool = False) -> DataFrame:
@@ -283,29 +371,6 @@ def selected_inverse(entries: DataFrame) -> DataFrame:
     return in_one_task(entries.where("row <= col"), invert, "row long, col long, value double")
 
 
-def table_posterior(plan: Plan, values: DataFrame, table: DataFrame, nugget: float | None) -> DataFrame:
-    """loglik of a plan whose covariances are a table (row_id, col_id, value) by loc_id: the table goes to the task that
-    factors, as dense rows of the neighbours' covariances. The nugget is added where a neighbour enters by its response."""
-    cov = table.select("row_id", F.struct("col_id", "value").alias("e")).groupBy("row_id").agg(F.collect_list("e").alias("c")).withColumnRenamed("row_id", "loc_id")
-    rows = plan.packed().join(observations(plan, values, nugget), "loc_id", "left").join(cov, "loc_id", "left")
-    first = plan.response_first
-
-    def body(p: pd.DataFrame) -> pd.DataFrame:
-        p, r = _rows(p, first)
-        ids = p["loc_id"].to_numpy()
-        flat = pd.DataFrame([(i, e["col_id"], e["value"]) for i, own in zip(ids, p["c"], strict=True) if own is not None for e in own], columns=["row_id", "col_id", "value"])
-        dense = _dense(flat, ids)
-        r.coords = np.arange(len(ids), dtype=float)[:, None]  # locations are places in the table
-
-        def look(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            return dense[a[:, 0].astype(int), b[:, 0].astype(int)]
-
-        post = Posterior(r, p["z"].to_numpy(float), p["nugget"].fillna(0.0).to_numpy(float), look, ())
-        return pd.DataFrame({"loglik": [post.loglik()]})
-
-    return in_one_task(rows, body, "loglik double")
-
-
 def impute_missing(values: DataFrame, nugget: float | None = None) -> DataFrame:
     """values with z and nugget of missing observations as their mean and 1e8 times their variance."""
     s = values.agg(F.avg("z").alias("_m"), F.var_samp("z").alias("_v"))  # one row

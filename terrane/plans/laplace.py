@@ -17,7 +17,7 @@ from ..functions.special import normal_quantile
 from ..functions.conditional import Posterior, Rows
 from ..sources.storage import materialise
 from .evaluate import loglik, predict, run
-from .specify import Plan
+from .specify import Plan, specify
 
 
 @dataclass
@@ -132,14 +132,14 @@ def loglik_of(post: LaplacePosterior, plan: Plan) -> DataFrame:
 
 
 def laplace_loglik(plan: Plan, values: DataFrame, name: str | Family, parameters: Sequence[float], model: Model = "matern", tolerance: float = 1e-5, plan_likelihood: Plan | None = None, **more) -> DataFrame:
-    """One row (loglik); minus infinity with a warning if the search doesn't converge. A response-first plan needs another
-    plan of the points for the likelihood."""
+    """One row (loglik); minus infinity with a warning if the search doesn't converge. For a response-first plan the
+    likelihood is that of another plan of its observed points: plan_likelihood, or the default one with the same m."""
     post = posterior(plan, values, name, parameters, model, tolerance=tolerance, **more)
     if not post.converged:
         warnings.warn("the Newton steps did not converge", stacklevel=2)
         return plan.ordered.sparkSession.range(1).select(F.lit(float("-inf")).alias("loglik"))
     if plan.cond_yz == "zy" and plan_likelihood is None:
-        raise ValueError("a response-first plan needs plan_likelihood")
+        plan_likelihood = specify(plan.ordered.where("is_obs").select("loc_id", "coords"), plan.m)
     return loglik_of(post, plan_likelihood or plan)
 
 

@@ -146,6 +146,8 @@ def specify(
         if widest > 100:
             notes.append(f"MRA: the effective m is {widest}: this may be slow")
         m = widest
+    elif dims == 1 and order == "coord" and order_pred != "obspred":
+        sets = neighbors.line_neighbors(ordered, m)
     else:
         sets = materialise(neighbors.ordered_neighbors(ordered, m))
     if n_pred and pred_cond == "independent":

@@ -33,6 +33,22 @@ P2 = """p2 AS (SELECT f.loc_id, f.x, f.y, q.q - avg(q.q) OVER () AS z
   JOIN (SELECT l_partkey, avg(l_quantity) AS q FROM lineitem GROUP BY 1) q ON q.l_partkey = f.loc_id),
 o2 AS (SELECT *, row_number() OVER (ORDER BY x + y, loc_id) - 1 AS pos FROM p2)"""
 GRID_SQL = f"g AS (SELECT a.i + {GRID} * b.i + 1000000000 AS loc_id, (a.i + 0.5::DOUBLE) / {GRID}::DOUBLE AS x, 12 * (b.i + 0.5::DOUBLE) / {GRID}::DOUBLE AS y FROM range({GRID}) a(i), range({GRID}) b(i))"
+
+
+def _maxmin_sql(rows: str) -> str:
+    """mm (pos, loc_id): the max-min ordering of rows (loc_id, x, y, p), those with p = 0 first; for WITH RECURSIVE."""
+    return f"""u AS ({rows}), center AS (SELECT avg(x) FILTER (WHERE p = 0) AS cx, avg(y) FILTER (WHERE p = 0) AS cy, count(*) AS n FROM u),
+first AS (SELECT loc_id AS pl, x AS px, y AS py FROM u, center WHERE p = 0 ORDER BY (x - cx) * (x - cx) + (y - cy) * (y - cy), loc_id LIMIT 1),
+step AS (SELECT 0 AS k, loc_id, x, y, p, 1e300::DOUBLE AS far, pl, px, py FROM u, first
+  UNION ALL SELECT k + 1, loc_id, x, y, p, f, first_value(loc_id) OVER w, first_value(x) OVER w, first_value(y) OVER w
+  FROM (SELECT *, CASE WHEN loc_id = pl OR far < 0 THEN -1 ELSE least(far, (x - px) * (x - px) + (y - py) * (y - py)) END AS f FROM step) q, center WHERE k + 1 < n
+  WINDOW w AS (ORDER BY f < 0, p, f DESC, loc_id)),
+mm AS (SELECT DISTINCT k AS pos, pl AS loc_id FROM step)"""
+
+
+_MM = f"WITH RECURSIVE {P2}, {_maxmin_sql('SELECT loc_id, x, y, 0 AS p FROM p2')}"
+_MM_BOTH = f"WITH RECURSIVE {P2}, {GRID_SQL}, {_maxmin_sql('SELECT loc_id, x, y, 0 AS p FROM p2 UNION ALL SELECT loc_id, x, y, 1 FROM g')}"
+
 D2 = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
 
 
@@ -121,12 +137,12 @@ def order_none(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.as_given(points.pts1d(spark, sf_dir)).select("loc_id", "pos")
 
 
-@query()
+@query(f"{_MM} SELECT loc_id, pos FROM mm")
 def order_maxmin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.maxmin(points.pts2d(spark, sf_dir)).select("loc_id", "pos")
 
 
-@query()
+@query(f"{_MM_BOTH} SELECT loc_id, pos FROM mm")
 def order_obs_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.maxmin_obs_pred(_both(spark, sf_dir)).select("loc_id", "pos")
 
@@ -161,7 +177,7 @@ def nn_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT o.pos, CAST(s.slot AS INTEGER) AS slot, o.pos - s.slot AS nbr_pos FROM o1 o JOIN s ON s.slot <= o.pos"""
 )
 def nn_ordered_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbors.ordered_neighbors(materialise(_ordered1(spark, sf_dir)), 3)
+    return neighbors.line_neighbors(_ordered1(spark, sf_dir), 3)
 
 
 @query(
@@ -226,13 +242,30 @@ def m0_independent(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Trees
 
 
-@query()
+# Binary trees: the parameters for m = 20 are those of choose() while a path has fewer than 20 levels.
+_TREE = f"""WITH RECURSIVE {P2}, size AS (SELECT count(*) AS n FROM p2),
+shape AS (SELECT (SELECT min(k) FROM range(1, 19) t(k) WHERE 20 * (1::BIGINT << k) > n * k) AS depth FROM size),
+live AS (SELECT 0 AS d, 'r' AS node, pos, x, y FROM o2
+  UNION ALL SELECT d + 1, node || CASE WHEN size = 1 OR c > cut OR (c = cut AND rank - above >= greatest(2 * above + level - size, 0) AND rank - above - greatest(2 * above + level - size, 0) < size // 2 - above) THEN '_0' ELSE '_1' END, pos, x, y
+  FROM (SELECT *, count(*) FILTER (WHERE c > cut) OVER (PARTITION BY node) AS above, count(*) FILTER (WHERE c = cut) OVER (PARTITION BY node) AS level
+    FROM (SELECT *, max(CASE WHEN rank = size // 2 THEN c END) OVER (PARTITION BY node) AS cut
+      FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY c DESC, pos) - 1 AS rank, count(*) OVER (PARTITION BY node) AS size
+        FROM (SELECT live.*, CASE WHEN d % 2 = 0 THEN y ELSE x END AS c, depth, row_number() OVER (PARTITION BY node ORDER BY pos) - 1 AS place FROM live, shape) a
+        WHERE d < depth AND place >= greatest(1, (20 + d) // (depth + 1))) b) e) f),
+tree AS (SELECT * FROM (SELECT node AS node_id, CAST(d AS INTEGER) AS depth, shape.depth AS lowest, CAST(row_number() OVER (PARTITION BY node ORDER BY pos) - 1 AS INTEGER) AS place, pos FROM live, shape) a
+  WHERE a.depth = lowest OR place < greatest(1, (20 + a.depth) // (lowest + 1)))"""
+
+
+@query(f"{_TREE} SELECT node_id, depth, place, pos, CASE WHEN depth > 0 THEN regexp_replace(node_id, '_[^_]*$', '') END AS parent_id FROM tree")
 def mra_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = materialise(_ordered2(spark, sf_dir))
     return mra.knot_table(o, mra.parameters(o.count(), 20)).withColumn("parent_id", mra.parent(F.col("node_id")))
 
 
-@query()
+@query(
+    f"""{_TREE} SELECT a.pos, CAST(row_number() OVER (PARTITION BY a.pos ORDER BY b.depth DESC, b.place DESC) - 1 AS INTEGER) AS slot, b.pos AS nbr_pos
+    FROM tree a JOIN tree b ON (b.node_id = a.node_id AND b.place <= a.place) OR starts_with(a.node_id, b.node_id || '_')"""
+)
 def mra_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = materialise(_ordered2(spark, sf_dir))
     return mra.ancestor_neighbors(materialise(mra.knot_table(o, mra.parameters(o.count(), 20))))
@@ -288,12 +321,28 @@ def cond_lk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _response_first(spark, sf_dir, "LK")
 
 
-@query()
+def _sgv_sql(order: str, m: int) -> str:
+    """sgv (pos, slot, nbr_pos, on_latent) of points o (pos, x, y, p), for those with p = 0; the others are all latent."""
+    return f"""{order},
+    near AS (SELECT a.pos, b.pos AS nbr_pos, row_number() OVER (PARTITION BY a.pos ORDER BY {D2}, b.pos) AS slot FROM o a JOIN o b ON b.pos < a.pos),
+    sets AS (SELECT o.pos, any_value(o.p) AS p, list_prepend(o.pos, coalesce(list(nbr_pos ORDER BY slot) FILTER (WHERE slot <= {m}), [])) AS s FROM o LEFT JOIN near USING (pos) GROUP BY o.pos),
+    walk AS (SELECT 0 AS k, [[0::BIGINT]] AS latent
+      UNION ALL SELECT k + 1, list_append(latent, list_distinct(list_append(CASE WHEN list_max(common) > 0 THEN list_intersect(s, latent[s[1 + list_position(common, list_max(common))] + 1]) ELSE [] END, k + 1)))
+      FROM (SELECT k, latent, s, list_transform(s[2:], lambda j: len(list_intersect(s, latent[j + 1]))) AS common FROM walk JOIN sets ON sets.pos = walk.k + 1 AND sets.p = 0) w),
+    parts AS (SELECT unnest(range(len(latent))) AS pos, unnest(latent) AS own FROM (SELECT latent FROM walk ORDER BY k DESC LIMIT 1) l),
+    each AS (SELECT pos, s, unnest(range(len(s))) AS slot, unnest(s) AS nbr_pos FROM sets)
+    SELECT e.pos, CAST(e.slot AS INTEGER) AS slot, e.nbr_pos, coalesce(list_contains(own, e.nbr_pos), true) AS on_latent FROM each e LEFT JOIN parts USING (pos)"""
+
+
+_ROTATED = f"{_MM}, o AS (SELECT CASE WHEN pos = 0 THEN 0 WHEN pos < least(n, 9) THEN pos + n - least(n, 9) ELSE pos - least(n, 9) + 1 END AS pos, x, y, 0 AS p FROM mm JOIN p2 USING (loc_id), center)"
+
+
+@query(_sgv_sql(_ROTATED, 8))
 def cond_sgv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan2(spark, sf_dir, 8, cond_yz="SGV")[0].flags
 
 
-@query()
+@query(_sgv_sql(f"{_MM_BOTH}, o AS (SELECT pos, x, y, p FROM mm JOIN u USING (loc_id))", 8))
 def cond_sgvt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan2(spark, sf_dir, 8, predictions=True, cond_yz="SGVT")[0].flags
 
@@ -360,6 +409,12 @@ def matern_general(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kernel(spark, sf_dir, "matern", (1.3, 2.0, 0.8))
 
 
+@query(f"{_PAIRS} SELECT pos, slot, nbr_pos, round(1.3::DOUBLE * (1 + d / 2 + (d / 2) * (d / 2) * 2 / 5 + (d / 2) * (d / 2) * (d / 2) / 15) * exp(-d / 2::DOUBLE), 6) AS cov FROM d")
+def matern_35(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The general smoothness, where it has a closed form."""
+    return _kernel(spark, sf_dir, "matern", (1.3, 2.0, 3.5))
+
+
 @query(f"{_PAIRS} SELECT pos, slot, nbr_pos, round(exp(-d / 2::DOUBLE) + 0.5::DOUBLE * exp(-(d / 3::DOUBLE) * (d / 3::DOUBLE)), 6) AS cov FROM d")
 def esqe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _kernel(spark, sf_dir, "esqe", (1.0, 2.0, 0.5, 3.0))
@@ -415,6 +470,29 @@ def u_entries_m1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.u_entries(plan, THETA, NUGGET).withColumn("value", six("value"))
 
 
+@query(
+    f"""{_M1} SELECT 2 * pos AS row, 2 * pos AS col, round(1 / sqrt(s2), 6) AS value FROM s UNION ALL SELECT 2 * pos - 1, 2 * pos, round(-b / sqrt(s2), 6) FROM s WHERE pos > 0
+    UNION ALL SELECT 2 * pos, 2 * pos + 1, round(-1 / sqrt({_T}), 6) FROM s UNION ALL SELECT 2 * pos + 1, 2 * pos + 1, round(1 / sqrt({_T}), 6) FROM s"""
+)
+def u_matrix_m1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan, _ = _plan1(spark, sf_dir, 1, "z")
+    return evaluate.u_table(plan, THETA, NUGGET).withColumn("value", six("value"))
+
+
+def _chain_table(plan: Plan) -> DataFrame:
+    """Covariances of events by id, of each with itself and with the one before."""
+    a = plan.ordered.select("pos", F.col("loc_id").alias("row_id"), F.col("coords")[0].alias("x"))
+    b = plan.ordered.select((F.col("pos") + 1).alias("pos"), F.col("loc_id").alias("col_id"), F.col("coords")[0].alias("x0"))
+    pairs = a.join(b, "pos").select("row_id", "col_id", (F.lit(THETA[0]) * F.exp(-(F.col("x") - F.col("x0")) / THETA[1])).alias("value"))
+    return pairs.unionByName(a.select("row_id", F.col("row_id").alias("col_id"), F.lit(THETA[0]).alias("value")))
+
+
+@query(ORACLE_SQL["u_entries_m1"])
+def u_entries_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan, _ = _plan1(spark, sf_dir, 1, "z")
+    return evaluate.u_entries(plan, (), NUGGET, _chain_table(plan)).withColumn("value", six("value"))
+
+
 @query(f"{_M1} SELECT round(sum(-0.5 * ((z - coalesce(b * z1, 0)) * (z - coalesce(b * z1, 0)) / (s2 + {_T}) + ln(s2 + {_T}) + ln(2 * pi()))), 4) AS loglik FROM s")
 def loglik_m1_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan, p = _plan1(spark, sf_dir, 1, "z")
@@ -445,8 +523,29 @@ def loglik_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.loglik(plan, p, THETA2, NUGGET).select(six("loglik").alias("loglik"))
 
 
-# The nearest-neighbour likelihood of latent values on a line is a Kalman filter; with the exponential kernel it is exact.
-@query()
+def _kalman_sql(noise: float) -> str:
+    """On a line the exponential kernel makes a Markov chain, and conditioning on the latent value before is exact."""
+    ahead = "(e.a * e.a * s.p + 1 - e.a * e.a)"
+    return f"""WITH {P1}, l AS (SELECT pos, z, coalesce(exp(-(x - lag(x) OVER (ORDER BY pos)) / {THETA[1]}::DOUBLE), 0) AS a FROM o1),
+    f AS (SELECT list_reduce(list_prepend({{'a': 0::DOUBLE, 'z': 0::DOUBLE, 'm': 0::DOUBLE, 'p': 1::DOUBLE, 'll': 0::DOUBLE}}, list({{'a': a, 'z': z, 'm': 0::DOUBLE, 'p': 1::DOUBLE, 'll': 0::DOUBLE}} ORDER BY pos)),
+      lambda s, e: {{'a': e.a, 'z': e.z, 'm': e.a * s.m + {ahead} / ({ahead} + {noise}::DOUBLE) * (e.z - e.a * s.m), 'p': {ahead} * {noise}::DOUBLE / ({ahead} + {noise}::DOUBLE),
+        'll': s.ll - 0.5 * ((e.z - e.a * s.m) * (e.z - e.a * s.m) / ({ahead} + {noise}::DOUBLE) + ln({ahead} + {noise}::DOUBLE) + ln(2 * pi()))}}) AS r FROM l)
+    SELECT round(r.ll, 4) AS loglik FROM f"""
+
+
+@query(_kalman_sql(NUGGET))
+def loglik_sgv_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan, p = _plan1(spark, sf_dir, 1, "SGV")
+    return evaluate.loglik(plan, p, THETA, NUGGET).select(F.round("loglik", 4).alias("loglik"))
+
+
+@query(_kalman_sql(NUGGET))
+def table_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan, p = _plan1(spark, sf_dir, 1, "y")
+    return evaluate.loglik(plan, p, (), NUGGET, _chain_table(plan)).select(F.round("loglik", 4).alias("loglik"))
+
+
+@query(_kalman_sql(NUGGET))
 def loglik_y_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan, p = _plan1(spark, sf_dir, 1, "y")
     return evaluate.loglik(plan, p, THETA, NUGGET).select(F.round("loglik", 4).alias("loglik"))
@@ -491,7 +590,29 @@ def ichol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.lower_factor(plan, "matern", THETA2).withColumn("value", six("value"))
 
 
-@query()
+def _half(a, b):
+    """Less than half of the variance between points, so that the matrix cut to a forest is positive definite."""
+    import numpy as np
+
+    d = np.sqrt(((a - b) ** 2).sum(-1))
+    return np.where(d == 0, 1.0, 0.4 * np.exp(-d / 0.3))
+
+
+# Each point and its nearest earlier one: a forest, on which the factor is found from the roots on.
+_FOREST = f"""WITH RECURSIVE {P2}, n AS (SELECT a.pos, a.loc_id, b.pos AS up, b.loc_id AS up_id, {D2} AS d, row_number() OVER (PARTITION BY a.pos ORDER BY {D2}, b.pos) AS k FROM o2 a JOIN o2 b ON b.pos < a.pos),
+t AS (SELECT pos, loc_id, up, up_id, 0.4::DOUBLE * exp(-d / 0.3::DOUBLE) AS c FROM n WHERE k = 1),
+f AS (SELECT pos, loc_id, NULL::BIGINT AS up_id, NULL::DOUBLE AS side, 1::DOUBLE AS own FROM o2 WHERE pos = 0
+  UNION ALL SELECT t.pos, t.loc_id, t.up_id, c / f.own, sqrt(1 - c / f.own * (c / f.own)) FROM f JOIN t ON t.up = f.pos)"""
+
+
+@query(f"{_FOREST} SELECT loc_id AS row_id, loc_id AS col_id, round(own, 6) AS value FROM f UNION ALL SELECT loc_id, up_id, round(side, 6) FROM f WHERE side IS NOT NULL")
+def ichol_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan, _ = _plan2(spark, sf_dir, 1, order="coord", cond_yz="y")
+    return evaluate.lower_factor(plan, _half).withColumn("value", six("value"))
+
+
+# The latent values' own precision is that of the chain, whose inverse is the covariance.
+@query(f"WITH {P1} SELECT pos AS row, pos AS col, 1::DOUBLE AS value FROM o1 UNION ALL SELECT pos - 1, pos, round(exp(-(x - x0) / {THETA[1]}::DOUBLE), 6) FROM (SELECT pos, x, lag(x) OVER (ORDER BY pos) AS x0 FROM o1) WHERE pos > 0")
 def selected_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan, _ = _plan1(spark, sf_dir, 1, "y")
     return evaluate.selected_inverse(evaluate.precision(evaluate.u_entries(plan, THETA, 0.0))).withColumn("value", six("value"))
@@ -500,6 +621,50 @@ def selected_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Prediction
 
 
+# With m = 1 an observed value hangs on its response, and a predicted one on the nearest point before it.
+def _nearest_sql(rule: str, noise: float = NUGGET, z: str = "z") -> str:
+    through = "true" if rule == "zy" else "b.p = 1"
+    return f"""WITH RECURSIVE {P2}, {GRID_SQL}, u AS (SELECT loc_id, x, y, {z} AS z, 0 AS p FROM p2 UNION ALL SELECT loc_id, x, y, NULL, 1 FROM g),
+    o AS (SELECT *, row_number() OVER (ORDER BY p, x + y, loc_id) - 1 AS pos FROM u),
+    n AS (SELECT a.pos, a.loc_id, b.pos AS up, b.p AS seen, exp(-{D2} / {THETA2[1]}::DOUBLE) AS c, row_number() OVER (PARTITION BY a.pos ORDER BY {D2}, b.pos) AS k, {through} AS latent, b.z AS z FROM o a JOIN o b ON a.p = 1 AND b.pos < a.pos),
+    t AS (SELECT * FROM n WHERE k = 1),
+    f AS (SELECT pos, loc_id, true AS is_obs, z / {1 + noise}::DOUBLE AS mean, {noise}::DOUBLE / {1 + noise}::DOUBLE AS var FROM o WHERE p = 0
+      UNION ALL SELECT t.pos, t.loc_id, false, CASE WHEN latent THEN c * mean ELSE c * t.z / {1 + noise}::DOUBLE END, CASE WHEN latent THEN 1 - c * c + c * c * var ELSE 1 - c * c / {1 + noise}::DOUBLE END FROM f JOIN t ON t.up = f.pos)"""
+
+
+def _nearest_plan(spark: SparkSession, sf_dir: str, rule: str) -> tuple[Plan, DataFrame]:
+    p = points.pts2d(spark, sf_dir)
+    return specify(p, 1, grid_points(spark), order="coord", cond_yz=rule, order_pred="obspred"), p
+
+
+def _predict_nearest(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
+    plan, p = _nearest_plan(spark, sf_dir, rule)
+    return evaluate.predict(plan, p, THETA2, NUGGET).withColumns({"mean": six("mean") + 0.0, "var": six("var")})  # no -0.0
+
+
+@query(f"{_nearest_sql('zy')} SELECT loc_id, is_obs, round(mean, 6) + 0 AS mean, round(var, 6) AS var FROM f")
+def predict_nearest_zy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _predict_nearest(spark, sf_dir, "zy")
+
+
+@query(f"{_nearest_sql('RVP')} SELECT loc_id, is_obs, round(mean, 6) + 0 AS mean, round(var, 6) AS var FROM f")
+def predict_nearest_rvp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _predict_nearest(spark, sf_dir, "RVP")
+
+
+@query(f"{_nearest_sql('LK')} SELECT loc_id, is_obs, round(mean, 6) + 0 AS mean, round(var, 6) AS var FROM f")
+def predict_nearest_lk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _predict_nearest(spark, sf_dir, "LK")
+
+
+@query(f"{_nearest_sql('zy')} SELECT loc_id AS comb_id, round(0.25::DOUBLE * var, 6) AS var FROM f WHERE NOT is_obs OR loc_id % 40 = 1 UNION ALL SELECT 0, round({NUGGET}::DOUBLE / {1 + NUGGET}::DOUBLE / count(*), 9) FROM f WHERE is_obs")
+def lincomb_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan, p = _nearest_plan(spark, sf_dir, "zy")
+    each = plan.ordered.select(F.col("loc_id").alias("comb_id"), "loc_id", F.lit(0.5).alias("weight")).where("comb_id >= 1000000000 or comb_id % 40 = 1")
+    mean = p.select(F.lit(0).cast("long").alias("comb_id"), "loc_id", F.lit(1.0 / plan.n_obs).alias("weight"))
+    return evaluate.combinations(plan, p, each.unionByName(mean), THETA2, NUGGET).withColumn("var", F.when(F.col("comb_id") == 0, F.round("var", 9)).otherwise(F.round("var", 6)))
+
+
 @query()
 def predict_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan, p = _plan2(spark, sf_dir, 10, predictions=True)
@@ -519,22 +684,24 @@ def lincomb_var(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.combinations(plan, p, weights, THETA2, NUGGET).withColumn("var", six("var"))
 
 
-@query()
-def covmat(spark: SparkSession, sf_dir: str) -> DataFrame:
+# Through the response the latent values are independent given the data: the matrix is diagonal.
+@query(
+    f"""WITH {GRID_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY x + y, loc_id) - 1 AS pos FROM g),
+    n AS (SELECT a.pos, {D2} AS d, row_number() OVER (PARTITION BY a.pos ORDER BY {D2}, b.pos) AS k FROM o a JOIN o b ON b.pos < a.pos),
+    w AS (SELECT o.loc_id, 1 / (1 - coalesce(exp(-2 * d / {THETA2[1]}::DOUBLE), 0) / {1 + NUGGET}::DOUBLE) + 1 / {NUGGET}::DOUBLE AS w FROM o LEFT JOIN n ON n.pos = o.pos AND n.k = 1)
+    SELECT a.loc_id AS row_id, b.loc_id AS col_id, CASE WHEN a.loc_id = b.loc_id THEN round(1 / a.w, 6) ELSE 0 END AS cov FROM w a, w b"""
+)
+def covmat_nearest_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = grid_points(spark)
-    plan = specify(g, 10, cond_yz="SGV")
-    return evaluate.covariance_matrix(plan, g.withColumn("z", F.lit(0.0)), THETA2, NUGGET).withColumn("cov", six("cov"))
+    plan = specify(g, 1, order="coord", cond_yz="z")
+    return evaluate.covariance_matrix(plan, g.withColumn("z", F.lit(0.0)), THETA2, NUGGET).withColumn("cov", six("cov") + 0.0)
 
 
 @query()
-def table_loglik(spark: SparkSession, sf_dir: str) -> DataFrame:
+def covmat(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = grid_points(spark)
-    plan = specify(g, 6, cond_yz="SGV")
-    a, b = g.select(F.col("loc_id").alias("row_id"), F.col("coords").alias("a")), g.select(F.col("loc_id").alias("col_id"), F.col("coords").alias("b"))
-    near = a.join(b, F.abs(F.col("row_id") - F.col("col_id")) < GRID * GRID)
-    table = near.select("row_id", "col_id", kernels.column(kernels.distance(F.col("a"), F.col("b")), "matern", THETA2).alias("value"))
-    z = g.withColumn("z", F.sin(F.col("coords")[0] * 5) + F.col("coords")[1] / 10)
-    return evaluate.table_posterior(plan, z, table, NUGGET).select(six("loglik").alias("loglik"))
+    plan = specify(g, 10, cond_yz="SGV")
+    return evaluate.covariance_matrix(plan, g.withColumn("z", F.lit(0.0)), THETA2, NUGGET).withColumn("cov", six("cov"))
 
 
 # Families
@@ -596,7 +763,27 @@ def family_gamma_alt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _family(_price(spark, sf_dir), "gamma_alt", alpha=2.5)
 
 
-@query()
+def _psi(x: str) -> str:
+    """The digamma function: ten steps of the recurrence and the asymptotic series."""
+    h = f"({x} + 10)"
+    return f"(ln({h}) - 0.5 / {h} - 1 / (12 * {h} * {h}) + 1 / (120 * pow({h}, 4)) - 1 / (252 * pow({h}, 6)) + 1 / (240 * pow({h}, 8)) - {' - '.join(f'1 / ({x} + {k})' for k in range(10))})"
+
+
+def _psi1(x: str) -> str:
+    """The trigamma function, in the same way."""
+    h = f"({x} + 10)"
+    return f"(1 / {h} + 0.5 / ({h} * {h}) + 1 / (6 * pow({h}, 3)) - 1 / (30 * pow({h}, 5)) + 1 / (42 * pow({h}, 7)) - 1 / (30 * pow({h}, 9)) + {' + '.join(f'1 / (({x} + {k}) * ({x} + {k}))' for k in range(10))})"
+
+
+_B = families.DEFAULTS["beta"]
+
+
+@query(
+    f"""WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_quantity / 51 AS z, {_B}::DOUBLE * exp(l_discount) AS a, {_B}::DOUBLE * (1 + exp(l_discount)) AS c, l_discount AS y FROM lineitem),
+    s AS (SELECT *, a * (ln(z) - {_psi("a")} + {_psi("c")}) AS score FROM r)
+    SELECT id, round((a - 1) * ln(z) + ({_B}::DOUBLE - 1) * ln(1 - z) - lgamma(a) - lgamma({_B}::DOUBLE) + lgamma(c), 6) AS llh, round(score, 6) AS score,
+      round(-score - a * a * ({_psi1("c")} - {_psi1("a")}), 6) AS hess, round(1 / (1 + exp(-y)), 6) AS link FROM s"""
+)
 def family_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     rows = line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_quantity") / 51).alias("z"), F.col("l_discount").alias("y"))
@@ -622,6 +809,51 @@ def _binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.pts2d(spark, sf_dir).withColumn("z", (F.col("z") > 0).cast("double"))
 
 
+@query(f"{_nearest_sql('zy', 0.25)} SELECT f.loc_id, round(f.mean, 6) AS mean, round(u.z, 6) AS pseudo, 0.25::DOUBLE AS noise FROM f JOIN u USING (loc_id) WHERE is_obs")
+def vl_posterior_gauss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points.pts2d(spark, sf_dir)
+    post = laplace.posterior(specify(p, 1, order="coord", cond_yz="zy"), p, "gauss", THETA2, sigma=0.5)
+    return post.table.select("loc_id", *[six(c).alias(c) for c in ("mean", "pseudo", "noise")])
+
+
+# Newton's steps of independent values, each given its own response only; as many as make the change vanish.
+_NEWTON = f"""WITH RECURSIVE {P2}, b AS (SELECT loc_id, CASE WHEN z > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END AS z FROM p2),
+y AS (SELECT loc_id, z, 0::DOUBLE AS y, 0 AS k, 0::DOUBLE AS t, 0::DOUBLE AS d
+  UNION ALL SELECT loc_id, z, t_ / (1 + d_), k + 1, t_, d_ FROM (SELECT loc_id, z, k, 1 / (m * (1 - m)) AS d_, (z - m) / (m * (1 - m)) + y AS t_ FROM (SELECT *, 1 / (1 + exp(-y)) AS m FROM y) v) w WHERE k < 12)"""
+_NEWTON = _NEWTON.replace("0::DOUBLE AS d\n", "0::DOUBLE AS d FROM b\n")
+
+
+@query(f"{_NEWTON} SELECT loc_id, round(y, 6) AS mean, round(t, 6) AS pseudo, round(d, 6) AS noise FROM y WHERE k = 12")
+def vl_posterior_own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _binary(spark, sf_dir)
+    post = laplace.posterior(specify(p, 1, order="coord", cond_yz="zy"), p, "logistic", THETA2, tolerance=1e-10)
+    return post.table.select("loc_id", *[six(c).alias(c) for c in ("mean", "pseudo", "noise")])
+
+
+@query(_kalman_sql(0.25))
+def vl_loglik_gauss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan, p = _plan1(spark, sf_dir, 1, "y")
+    return laplace.laplace_loglik(plan, p, "gauss", THETA, sigma=0.5).select(F.round("loglik", 4).alias("loglik"))
+
+
+@query(_kalman_sql(0.25))
+def vl_loglik_own_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a response-first plan, which makes its own plan for the likelihood."""
+    plan, p = _plan1(spark, sf_dir, 1, "zy")
+    return laplace.laplace_loglik(plan, p, "gauss", THETA, sigma=0.5).select(F.round("loglik", 4).alias("loglik"))
+
+
+_Q95 = "1.6448536269514722::DOUBLE"
+
+
+@query(f"{_nearest_sql('zy', 0.25)} SELECT loc_id, is_obs, round(mean, 6) + 0 AS mean, round(var, 6) AS var, round(mean, 6) + 0 AS data_mean, round(mean - {_Q95} * sqrt(var), 6) AS lower, round(mean + {_Q95} * sqrt(var), 6) AS upper FROM f")
+def vl_predict_gauss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan, p = _nearest_plan(spark, sf_dir, "zy")
+    post = laplace.posterior(specify(p, 1, order="coord", cond_yz="zy"), p, "gauss", THETA2, sigma=0.5)
+    out = laplace.laplace_predict(post, plan)
+    return out.select("loc_id", "is_obs", *[(six(c) + 0.0).alias(c) for c in ("mean", "var", "data_mean", "lower", "upper")])
+
+
 @query()
 def vl_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _binary(spark, sf_dir)

@@ -158,7 +158,7 @@ def test_covariance_models(spark, data):
     sgv = specify(data.points, 6)
     a = number(evaluate.loglik(sgv, data.values, THETA, TAU))
     b = number(evaluate.loglik(sgv, data.values, (), TAU, lambda p, q: np.exp(-np.sqrt(((p - q) ** 2).sum(1)) / 0.3)))
-    c = number(evaluate.table_posterior(sgv, data.values, table, TAU))
+    c = number(evaluate.loglik(sgv, data.values, (), TAU, table))
     assert a == pytest.approx(b) and a == pytest.approx(c)
 
 
@@ -228,8 +228,8 @@ def test_laplace_likelihood(spark, data):
     got = number(laplace.laplace_loglik(plan, data.values, "gauss", THETA, sigma=TAU**0.5))
     assert got == pytest.approx(data.exact(), abs=1e-7)  # Laplace is exact for Gaussian data
     first = specify(data.points, N, cond_yz="zy")
-    with pytest.raises(ValueError, match="plan_likelihood"):
-        laplace.laplace_loglik(first, data.values, "gauss", THETA, sigma=0.3)
+    own = specify(data.points, first.m)
+    assert number(laplace.laplace_loglik(first, data.values, "gauss", THETA, sigma=0.3)) == pytest.approx(number(laplace.laplace_loglik(first, data.values, "gauss", THETA, plan_likelihood=own, sigma=0.3)))
     again = number(laplace.laplace_loglik(first, data.values, "gauss", THETA, plan_likelihood=plan, sigma=TAU**0.5))
     assert again == pytest.approx(data.exact(), abs=1e-5)
     with pytest.warns(UserWarning, match="converge"):
