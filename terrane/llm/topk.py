@@ -51,17 +51,22 @@ class Postings:
         they hold exactly, else 64-bit integers if none can pass 62, else Python's."""
         most = self.most * queries.most * max(1, len(self.lists))
         kind = np.float64 if most < 1 << 53 else np.int64 if most < 1 << 62 else object
-        out, more = np.zeros((queries.rows, self.rows), kind), np.empty((queries.rows, self.rows), kind)
+        out = np.zeros((queries.rows, self.rows), kind)
+        full: list[tuple[np.ndarray, np.ndarray]] = []
         for t, q in queries.lists.items():
             if (at := self.lists.get(t)) is None:
                 continue
             row, of = self.row[at], queries.row[q]
             weight, by = self.weight[at].astype(kind, copy=False), queries.weight[q].astype(kind, copy=False)
             if len(row) == self.rows and len(of) == queries.rows:
-                np.multiply(by[:, None], weight[None, :], out=more)
-                np.add(out, more, out=out)
+                full.append((by, weight))
             else:
                 out[of[:, None], row[None, :]] += by[:, None] * weight[None, :]
+        # Terms that every row and query has are added together: in doubles no order of the sums makes a difference.
+        step = len(full) if kind is np.float64 else 1
+        for low in range(0, len(full), max(step, 1)):
+            by, weight = (np.stack(x) for x in zip(*full[low : low + step], strict=True))
+            out += by.T @ weight if step > 1 else by[0][:, None] * weight[0][None, :]
         return out
 
 
