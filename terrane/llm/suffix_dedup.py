@@ -4,12 +4,14 @@
    of equals. Two equal windows pick the same gram at the same offset, so equal windows meet at equal anchors.
    Anchors that occur once in the corpus (counted with map-side sums) need no further work.
 2. Pieces. The piece of an anchor is what the windows that pick it cover: at most 2 * WINDOW - ANCHOR bytes, fewer on
-   average, and each window is in one piece only. Equal pieces of one anchor are one piece with a count; only one representative's bytes travel.
-3. Shards. The pieces of an anchor form a shard, in parts of at most SHARD_PIECES pieces if there are more. Each part
-   gets a suffix array by Larsson-Sadakane refinement and common prefixes by Kasai's method; windows whose first
-   WINDOW bytes equal those of a neighbour, at the same offset from the anchor, are repeated.
-4. Merging. Of shards in several parts, windows that a part has once meet the other parts' in order of their hash and
-   are found by binary search.
+   average, and each window is in one piece only. Pieces of one anchor with equal bytes (by the anchor's hash and 64
+   bits of xxHash over the bytes) are one piece with a count; only one representative's bytes travel.
+3. Shards. The pieces of every anchor that repeats form a shard, in parts of about SHARD_PIECES pieces if there are
+   more. Each part gets a suffix array by Larsson-Sadakane refinement and common prefixes by Kasai's method; windows
+   whose first WINDOW bytes equal those of a neighbour, at the same offset from the anchor, or whose piece counts
+   twice, are repeated. Nothing is removed that no suffix array has seen.
+4. Merging. Of shards in several parts, each part sends one of each of its windows' 128-bit digests in order; a part's
+   windows are looked up in the merged order of the parts before it by binary search.
 5. Each document gets the ranges of its own pieces and removes their union.
 """
 
@@ -19,13 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _BYTE, materialise, mix, prefix, shuffle_parts, signed, slices, text_bytes
 
 WINDOW, ANCHOR = 200, 48
-SHARD_PIECES = 8192
+SHARD_PIECES = 1024
 #: Pieces that go into one suffix array at least, if there are as many: larger arrays leave the caches.
 TOGETHER = 1024
 
@@ -79,8 +82,11 @@ class Anchors:
         self.anchor = mix((sums[p + gram] - sums[p]) * inverse[p] + _U(gram))
         self.start = begin[first]
         self.end = final[np.r_[first[1:], len(new)] - 1] + window if len(first) else self.start
-        left, size = (p - self.start).astype(_U), (self.end - self.start).astype(_U)
-        self.piece = mix((sums[self.end] - sums[self.start]) * inverse[self.start] + size * _U(0x9E3779B97F4A7C15) + left * _U(0xC2B2AE3D27D4EB4F))
+        view = memoryview(np.ascontiguousarray(data))
+        spans = zip(self.start.tolist(), self.end.tolist(), strict=True)
+        own = np.fromiter((xxhash.xxh3_64_intdigest(view[s:e]) for s, e in spans), _U, len(p))
+        left = (p - self.start).astype(_U)
+        self.piece = mix(own + left * _U(0xC2B2AE3D27D4EB4F))
 
 
 def _both(anchor: np.ndarray, piece: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -230,7 +236,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = ANCHOR, sh
     pieces = found.groupBy("anchor", "piece").agg(F.sum("n").alias("n"), F.min("rid").alias("rid"))
     kinds = pieces.groupBy("anchor").agg(F.count("*").alias("kinds"))
     pieces = materialise(pieces.join(kinds, "anchor"))
-    asked = pieces.where("kinds >= 2").groupBy("rid").agg(F.collect_list(F.struct("anchor", "piece", "n", "kinds")).alias("asked"))
+    asked = pieces.groupBy("rid").agg(F.collect_list(F.struct("anchor", "piece", "n", "kinds")).alias("asked"))
     touched = found.select("rid").distinct().join(asked, "rid", "left").withColumn("hit", F.lit(True))
     held = materialise(
         rows.join(touched, "rid", "left").select(
@@ -281,9 +287,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = ANCHOR, sh
             yield _solved(anchor[some], piece[some], low[some], high[some] + window)
             open_ = np.flatnonzero(split[owner] & (first | ~twice))
             if len(open_):  # windows of shards in several parts go on to the merge
-                h = _window_hash(bytes_, owner[open_], rel[open_] + left[owner[open_]], window)
-                key = mix(h ^ (anchor[owner[open_]].view(_U) + rel[open_].astype(np.int64).view(_U) * _U(0x9E3779B97F4A7C15)))
-                yield _to_merge(key, anchor[owner[open_]], piece[owner[open_]], rel[open_], parts)
+                of = owner[open_]
+                key = _window_digests(bytes_, of, rel[open_] + left[of], window, anchor[of], rel[open_])
+                yield from _to_merge(key, anchor[of], piece[of], part[of], rel[open_], parts)
 
         held_, n, now = [], 0, None
         for b in batches:
@@ -324,8 +330,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = ANCHOR, sh
             yield _merged(held, window)
 
     merged = waiting.mapInArrow(merge, "anchor long, piece long, low long, high long")
-    full = pieces.where("n >= 2").select("anchor", "piece", F.lit(-window).cast("long").alias("low"), F.lit(window).cast("long").alias("high"))
-    ranges = solved.where("target is null").select("anchor", "piece", "low", "high").unionByName(merged).unionByName(full)
+    ranges = solved.where("target is null").select("anchor", "piece", "low", "high").unionByName(merged)
     ranges = ranges.groupBy("anchor", "piece").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     mine = found.select("rid", "anchor", "piece").distinct().join(ranges, ["anchor", "piece"])
     mine = mine.groupBy("rid").agg(F.collect_list(F.struct("anchor", "piece", "low", "high")).alias("ranges"))
@@ -364,18 +369,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = ANCHOR, sh
     return out if carry else out.drop("others")
 
 
-def _window_hash(pieces: list[bytes], owner: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
-    used, of = np.unique(owner, return_inverse=True)
-    chosen = [pieces[i] for i in used.tolist()]
-    text = np.frombuffer(b"".join(chosen), np.uint8)
-    begin = np.cumsum([0, *map(len, chosen)])[:-1][of] + start
-    sums, inverse = prefix(_BYTE[text])
-    return mix((sums[begin + window] - sums[begin]) * inverse[begin])
+#: A window's digest: of its bytes, and where it stands from which anchor.
+_KEY = np.dtype([("a", ">u8"), ("b", ">u8")])
+
+
+def _window_digests(pieces: list[bytes], owner: np.ndarray, start: np.ndarray, window: int, anchor: np.ndarray, rel: np.ndarray) -> np.ndarray:
+    own = b"".join([xxhash.xxh3_128_digest(pieces[i][s : s + window]) for i, s in zip(owner.tolist(), start.tolist(), strict=True)])
+    key = np.frombuffer(own, _KEY).copy()
+    place = mix(anchor.view(_U) + rel.astype(np.int64).view(_U) * _U(0x9E3779B97F4A7C15))
+    key["a"] ^= place
+    key["b"] ^= mix(place + _U(1))
+    return key
 
 
 _SOLVED = ["anchor", "piece", "low", "high", "target", "keys", "rows"]
 _KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-_ROW = np.dtype([("anchor", np.int64), ("piece", np.int64), ("rel", np.int16)])
+_ROW = np.dtype([("anchor", np.int64), ("piece", np.int64), ("rel", np.int16), ("part", np.int32)])
 
 
 def _solved(anchor: np.ndarray, piece: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
@@ -383,27 +392,59 @@ def _solved(anchor: np.ndarray, piece: np.ndarray, low: np.ndarray, high: np.nda
     return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(piece), pa.array(low), pa.array(high), *empty], _SOLVED)
 
 
-def _to_merge(key: np.ndarray, anchor: np.ndarray, piece: np.ndarray, rel: np.ndarray, targets: int) -> pa.RecordBatch:
-    """Open windows as one row for each hash range of their keys: sorted keys, and what they belong to."""
-    order = np.argsort(key)
+def _to_merge(key: np.ndarray, anchor: np.ndarray, piece: np.ndarray, part: np.ndarray, rel: np.ndarray, targets: int) -> Iterator[pa.RecordBatch]:
+    """Open windows as one row for each range of their digests: sorted digests, and what they belong to."""
+    order = np.lexsort((key["b"], key["a"]))
     rows = np.empty(len(key), _ROW)
-    rows["anchor"], rows["piece"], rows["rel"] = anchor, piece, rel
+    rows["anchor"], rows["piece"], rows["rel"], rows["part"] = anchor, piece, rel, part
     key, rows = key[order], rows[order]
-    target = (key >> _U(32)) * _U(targets) >> _U(32)
+    target = (key["a"].astype(_U) >> _U(32)) * _U(targets) >> _U(32)
     cut = [0, *(np.flatnonzero(target[1:] != target[:-1]) + 1).tolist(), len(key)]
     ranges = list(zip(cut, cut[1:], strict=False))
     empty = [pa.nulls(len(ranges), k) for k in _KINDS[:4]]
-    return pa.RecordBatch.from_arrays([*empty, pa.array(target[cut[:-1]].astype(np.int32)), pa.array([key[a:z].tobytes() for a, z in ranges], pa.binary()), pa.array([rows[a:z].tobytes() for a, z in ranges], pa.binary())], _SOLVED)
+    yield pa.RecordBatch.from_arrays([*empty, pa.array(target[cut[:-1]].astype(np.int32)), pa.array([key[a:z].tobytes() for a, z in ranges], pa.binary()), pa.array([rows[a:z].tobytes() for a, z in ranges], pa.binary())], _SOLVED)
+
+
+class _Run:
+    """Windows in order of their digests, each once; again: which another part has too."""
+
+    def __init__(self, key: np.ndarray, rows: np.ndarray, again: np.ndarray):
+        self.key, self.rows, self.again = key, rows, again
+
+    def merged(self, other: _Run) -> tuple[_Run, np.ndarray]:
+        """Both runs as one, by binary search of the other's digests in this one's, and the rows of the other's hits."""
+        at = np.searchsorted(self.key, other.key)
+        hit = np.zeros(len(at), bool)
+        if len(self.key):
+            hit = self.key[np.minimum(at, len(self.key) - 1)] == other.key
+        self.again[at[hit]] = True
+        new = ~hit
+        put = [np.insert(x, at[new], y[new]) for x, y in ((self.key, other.key), (self.rows, other.rows), (self.again, other.again))]
+        return _Run(*put), other.rows[hit]
 
 
 def _merged(held: list[tuple[bytes, bytes]], window: int) -> pa.RecordBatch:
-    """The ranges of pieces from their open windows that another part has too: those whose key stands twice."""
-    key = np.frombuffer(b"".join(k for k, _ in held), _U)
-    rows = np.frombuffer(b"".join(r for _, r in held), _ROW)
-    order = np.argsort(key)
-    key, rows = key[order], rows[order]
-    many = np.searchsorted(key, key, side="right") - np.searchsorted(key, key, side="left") > 1
-    rows = rows[many]
+    """The ranges of pieces from their open windows that another part has too: runs of about one size are merged by turns."""
+    stack: list[_Run] = []
+    extra: list[np.ndarray] = []
+
+    def join(top: int) -> None:
+        while len(stack) > 1 and len(stack[-2].key) <= top * len(stack[-1].key):
+            last = stack.pop()
+            stack[-1], found = stack[-1].merged(last)
+            extra.append(found)
+
+    for k, r in held:
+        # As strings of bytes the digests sort as they came.
+        key, rows = np.frombuffer(k, "S16"), np.frombuffer(r, _ROW)
+        fresh = np.r_[True, key[1:] != key[:-1]][: len(key)]  # two parts of an anchor may have been solved together
+        first = np.flatnonzero(fresh)
+        extra.append(rows[~fresh])
+        stack.append(_Run(key[first], rows[first], np.diff(np.r_[first, len(key)]) > 1))
+        join(2)
+    while len(stack) > 1:
+        join(len(stack[0].key) + 1)
+    rows = np.concatenate([*(x.rows[x.again] for x in stack), *extra])
     both = mix(np.ascontiguousarray(rows["anchor"]).view(_U)) ^ np.ascontiguousarray(rows["piece"]).view(_U)
     order = np.lexsort((rows["rel"], both))
     rows, both = rows[order], both[order]

@@ -90,6 +90,34 @@ def test_suffix_dedup_merges_parts_of_a_shard(spark):
     assert removed_bytes(docs(spark, texts), shard_pieces=4) == want
 
 
+def test_runs_of_windows_merge():
+    """Windows that stand in two runs, or twice in one, and no others."""
+    r = random.Random(8)
+    held, seen = [], defaultdict(list)
+    for part in range(9):
+        own = [(r.randint(0, 400), part, i) for i in range(r.randint(0, 60))]
+        rows = np.array([(9, part * 1000 + i, -3, part) for _, _, i in own], suffix_dedup._ROW)
+        digest = [hashlib.md5(str(k).encode()).digest() for k, _, _ in own]
+        order = sorted(range(len(own)), key=lambda i: digest[i])
+        held.append((b"".join(digest[i] for i in order), rows[order].tobytes()))
+        for d, row in zip(digest, rows, strict=True):
+            seen[d].append(int(row["piece"]))
+    got = suffix_dedup._merged(held, 200)
+    assert sorted(got.column(1).to_pylist()) == sorted(p for x in seen.values() if len(x) > 1 for p in x)
+    assert set(got.column(2).to_pylist()) == {-3} and set(got.column(3).to_pylist()) == {197}
+
+
+def test_suffix_dedup_of_regular_bytes(spark):
+    """Words that sums of powers can't tell apart."""
+    word = "ab"
+    for _ in range(10):
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    texts = [word[:1024], other[:1024], word[:700] + "x" + other[5:900], "ab" * 400]
+    want = sorted(key(i, *b) for i, b in enumerate(brute.repeats_bytes(texts, 200)))
+    assert removed_bytes(docs(spark, texts)) == want
+
+
 def test_suffix_array_and_prefixes():
     r = random.Random(2)
     pieces = [prose(r, r.randint(1, 60), "ab").encode() for _ in range(40)] + [b"ab" * 30, b"ab" * 30]
