@@ -1,13 +1,16 @@
 """Similarity self-join of documents by the Jaccard index of their word n-grams, by chosen paths.
 
-1. Sets. Each document becomes its set of n-gram hashes; documents with equal sets are one node with a count.
+1. Sets. Each document becomes its set of n-gram hashes; documents with equal sets (by 128 bits) are one node with a
+   count.
 2. Paths. In each run a set chooses each of its members with probability 1 / (least * size), by a hash that all sets
-   share, and below each chosen member chooses again. Sets that are similar enough share a path with a probability
-   that does not depend on their size; the number of runs follows from the target recall.
-3. Buckets. Sets with a common path meet. A bucket with more than SMALL sets is split by its next level; one that is
-   still larger is compared in blocks. Sketches of 128 bytes tell pairs that may be similar; only a spanning forest of
-   them leaves a bucket, so its output is linear in its size.
-4. Clusters. Connected sets are compared exactly, in blocks, once for each pair. What leaves is each node's number of
+   share. Sets that are similar enough share a path with a probability that does not depend on their size; the number
+   of runs follows from the target recall.
+3. Recursion. Sets with a common path are a bucket. A bucket with more than SMALL sets is split: each of its sets chooses
+   again below the path, REPEATS times, and so on down. A bucket that is not half the size of the one above it holds
+   sets that no path will part; it is compared in blocks, like small ones.
+4. Buckets. Sketches of 128 bytes tell pairs that may be similar; only a spanning forest of them leaves a bucket, so its
+   output is linear in its size.
+5. Clusters. Connected sets are compared exactly, in blocks, once for each pair. What leaves is each node's number of
    links and a spanning forest of the exact links, whose components are the classes.
 """
 
@@ -25,8 +28,11 @@ from .common import Words, materialise, mix, prefix, shuffle_parts, signed, slic
 from .components import components
 
 WORDS, LEAST = 5, 0.8
-SMALL, BLOCK = 256, 1024
+SMALL, BLOCK = 256, 512
 RECALL = 0.999
+#: Choices below a path, each independent of the others, and levels of paths at most: what is crowded on the last one is
+#: compared in blocks.
+REPEATS, LEVELS = 2, 12
 #: Bins of a sketch, and the share of equal ones that lets a pair go to the exact comparison. With 64 bins a pair of
 #: similarity 0.8 stays below 0.55 once in some 100,000 pairs and path.
 BINS, MAYBE = 64, 0.55
@@ -35,13 +41,15 @@ _U = np.uint64
 
 
 def runs_for(recall: float) -> int:
-    """Runs after which a pair that is just similar enough has met with this probability, by the deeper level's odds.
+    """Runs after which a pair that is just similar enough has met with this probability, however deep its buckets are split.
 
-    At the least similarity the shared choices of a level are about Poisson with mean 1; so 1 - exp(-1) of the pairs
-    meet at the first level and 1 - exp(-(1 - exp(-1))) at the second.
+    At the least similarity the shared choices of a run are about Poisson with mean 1, and those below a shared path with
+    mean REPEATS; so a shared path leads to one at any depth with a probability of at least g = 1 - exp(-REPEATS * g).
     """
-    meet = 1 - math.exp(-(1 - math.exp(-1)))
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
+    g = 1.0
+    for _ in range(200):
+        g = 1 - math.exp(-REPEATS * g)
+    return max(1, math.ceil(math.log(1 - recall) / -g))
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,29 +96,41 @@ def sketches(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def paths(h: np.ndarray, first: np.ndarray, runs: int, least: float) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """First-level paths as (set, path), and second-level ones as (set, path above, path)."""
+def _limit(size: np.ndarray, least: float) -> np.ndarray:
+    return np.minimum(2.0**64 / (least * np.maximum(size, 1)), 2.0**64 - 4096).astype(_U)
+
+
+def paths(h: np.ndarray, first: np.ndarray, runs: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(set, path): the members that the sets choose in each run, as paths of the first level."""
     size = np.diff(first)
-    limit = np.minimum(2.0**64 / (least * np.maximum(size, 1)), 2.0**64 - 4096).astype(_U)
+    limit = _limit(size, least)
     doc = np.repeat(np.arange(len(size)), size)
-    one, two = [], []
+    of, path = [], []
     for r in range(runs):
         odd = mix(np.array([r * 2 + 1], _U))[0] | _U(1)
         at = np.flatnonzero(mix(h * odd) <= limit[doc])
-        top = mix(h[at] ^ mix(np.array([r + 1000], _U))[0])
-        one.append((doc[at], top))
-        n = size[doc[at]]
-        node = np.repeat(np.arange(len(at)), n)
-        member = np.repeat(first[doc[at]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        value = h[member]
-        below = np.flatnonzero((mix(value ^ top[node]) <= limit[doc[at]][node]) & (member != at[node]))
-        two.append((doc[at][node[below]], top[node[below]], mix(value[below] + top[node[below]] * _U(3))))
-    return tuple(np.concatenate(x) for x in zip(*one, strict=True)), tuple(np.concatenate(x) for x in zip(*two, strict=True))
-
-
-def _lists(doc: np.ndarray, values: list[np.ndarray], n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        of.append(doc[at])
+        path.append(mix(h[at] ^ mix(np.array([r + 1000], _U))[0]))
+    return np.concatenate(of), np.concatenate(path)
+
+
+def paths_below(h: np.ndarray, above: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(place in above, path) of the members that one set chooses below each of its paths."""
+    limit = _limit(np.array([len(h)]), least)[0]
+    of, path = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
+    step = max(1, (1 << 20) // max(len(h), 1))
+    for low in range(0, len(above), step):
+        for r in range(REPEATS):
+            top = mix(above[low : low + step] + mix(np.array([r + 1], _U)))
+            i, member = np.nonzero(mix(h[None, :] ^ top[:, None]) <= limit)
+            of.append(i + low)
+            path.append(mix(h[member] + top[i] * _U(3)))
+    return np.concatenate(of), np.concatenate(path)
+
+
+def _lists(doc: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
     order = np.argsort(doc, kind="stable")
-    return np.searchsorted(doc[order], np.arange(n + 1)).astype(np.int32), [signed(v[order]) for v in values]
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[order], np.arange(n + 1)).astype(np.int32)), pa.array(signed(values[order])))
 
 
 def forest(linked: np.ndarray) -> np.ndarray:
@@ -201,6 +221,12 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _text_of(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked with the text of the rows named by `of` (rid, doc_id): a hash that two rows share is told by the id."""
+    asked = asked.withColumn("rid", F.col("of.rid"))
+    return rows.join(asked, "rid").where(F.col("doc_id").eqNullSafe(F.col("of.doc_id"))).drop("rid", "doc_id")
+
+
 def similar_documents(docs: DataFrame, words: int = WORDS, least: float = LEAST, recall: float = RECALL, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """doc_id, rid, class_id, n_links, n_copies for every row of docs (doc_id, text, ...).
 
@@ -211,8 +237,9 @@ def similar_documents(docs: DataFrame, words: int = WORDS, least: float = LEAST,
     null doc_id is a document like others; a class of such rows only has a null class_id. Other columns are ignored.
 
     rid is a hash of (doc_id, text), for matching rows again. Pairs are found with a probability of `recall` at the
-    least similarity and more above it; pairs that are found are compared exactly. Distinct sets are known by 64-bit
-    digests.
+    least similarity and more above it, and of those all but about one in 100,000 pass the sketches; pairs that are found
+    are compared exactly. An empty table gives an empty result. A very long text is one set like others; its n-grams are
+    held in one task. Similarities of exactly `least` are links.
     """
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
@@ -223,35 +250,51 @@ def similar_documents(docs: DataFrame, words: int = WORDS, least: float = LEAST,
         for b in slices(batches, "text", 2 << 20):
             h, first = shingle_sets(b.column("text"), words)
             d1, d2 = set_digest(h, first)
-            (s1, p1), (s2, up, p2) = paths(h, first, runs, least)
-            n = b.num_rows
-            at1, (p1,) = _lists(s1, [p1], n)
-            at2, (up, p2) = _lists(s2, [up, p2], n)
             sketch = sketches(h, first)
             arrays = [
                 b.column("doc_id"), b.column("rid"), pa.array(signed(d1)), pa.array(signed(d2)), pa.array(np.diff(first)),
-                pa.ListArray.from_arrays(pa.array(at1), pa.array(p1)),
-                pa.ListArray.from_arrays(pa.array(at2), pa.array(up)), pa.ListArray.from_arrays(pa.array(at2), pa.array(p2)),
-                pa.array([x.tobytes() for x in sketch], pa.binary()),
+                _lists(*paths(h, first, runs, least), b.num_rows), pa.array([x.tobytes() for x in sketch], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "rid", "node", "check", "size", "p1", "up", "p2", "sketch"])
-
-    seen = materialise(rows.mapInArrow(light, "doc_id long, rid long, node long, check long, size long, p1 array<long>, up array<long>, p2 array<long>, sketch binary"))
-    nodes = seen.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.min("rid").alias("rid"))
-    nodes = materialise(nodes)
-    # Rows that repeat a set have the same paths: the row with the node's rid stands for it.
-    lone = seen.where("size > 0").join(nodes.select("node", "rid"), ["node", "rid"])
-
-    top = lone.select("node", F.explode("p1").alias("path"))
-    crowd = top.groupBy("path").agg(F.count("*").alias("n")).where("n >= 2")
-    top = top.join(crowd, "path")
-    under = lone.select("node", F.explode(F.arrays_zip("up", "p2")).alias("x")).select("node", F.col("x.up").alias("up"), F.col("x.p2").alias("path"))
-    under = under.join(crowd.where(F.col("n") > small).select(F.col("path").alias("up")), "up").select("node", "path")
-    deep = under.groupBy("path").agg(F.count("*").alias("n")).where("n >= 2")
-    met = top.where(F.col("n") <= small).unionByName(under.join(deep, "path"))
-    # Repeated rows of a node's rid give the same rows; one is enough.
-    met = met.select("path", "node", "n").distinct()
-    met = met.join(lone.select("node", "size", "sketch"), "node")
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "rid", "d1", "d2", "size", "paths", "sketch"])
+
+    seen = materialise(rows.mapInArrow(light, "doc_id long, rid long, d1 long, d2 long, size long, paths array<long>, sketch binary"))
+    # Equal sets have equal paths and sketches.
+    each = [F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.min(F.struct("rid", "doc_id")).alias("of"), *[F.first(c).alias(c) for c in ("size", "paths", "sketch")]]
+    nodes = materialise(seen.where("size > 0").groupBy("d1", "d2").agg(*each).withColumn("node", F.col("d1")))
+    clash = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("d2").alias("least")).where("n > 1").select(F.col("node").alias("d1"), "least")
+    if clash.limit(1).count():  # different sets with one first digest: all but one are numbered by both
+        nodes = nodes.join(clash, "d1", "left").withColumn("node", F.when(F.col("least") != F.col("d2"), F.xxhash64("d1", "d2")).otherwise(F.col("d1"))).drop("least")
+        nodes = materialise(nodes)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            h, first = shingle_sets(b.column("text"), words)
+            lists, node = b.column("above"), np.asarray(b.column("node"))
+            flat, at = lists.flatten(), np.r_[0, np.cumsum(np.asarray(lists.value_lengths()))]
+            above, crowd = np.asarray(flat.field("path")).view(_U), np.asarray(flat.field("n"))
+            for k in range(b.num_rows):
+                of, path = paths_below(h[first[k] : first[k + 1]], above[at[k] : at[k + 1]], least)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), node[k])), pa.array(signed(path)), pa.array(crowd[at[k] : at[k + 1]][of])], ["node", "path", "up"])
+
+    level = nodes.select("node", F.explode("paths").alias("path"), F.lit(None).cast("long").alias("up"))
+    met = []
+    for depth in range(1, LEVELS + 1):
+        crowd = level.groupBy("path").agg(F.count("*").alias("n")).where("n >= 2")
+        level = materialise(level.join(crowd, "path"))
+        deeper = (F.col("n") > small) & (F.col("up").isNull() | (2 * F.col("n") <= F.col("up")))
+        below = level.where(deeper)
+        if depth == LEVELS or not below.limit(1).count():
+            met.append(level)
+            break
+        met.append(level.where(~deeper))
+        # A node has few paths: its list is bounded by the level's choices.
+        asked = below.groupBy("node").agg(F.collect_list(F.struct("path", "n")).alias("above")).join(nodes.select("node", "of"), "node")
+        # Repeated rows all match: one of them stands for the node.
+        level = _text_of(rows, asked).dropDuplicates(["node"]).select("text", "node", "above").mapInArrow(choose, "node long, path long, up long")
+    every = met[0].select("path", "node", "n")
+    for m in met[1:]:
+        every = every.unionByName(m.select("path", "node", "n"))
+    met = every.join(nodes.select("node", "size", "sketch"), "node")
     cells = _blocks(met, "path", "node", "n", block).select("path", "i", "j", "node", "size", "sketch")
     cells = cells.repartition(parts, "path", "i", "j").sortWithinPartitions("path", "i", "j", "node")
 
@@ -275,7 +318,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, least: float = LEAST,
 
     cluster = materialise(components(cells.mapInArrow(meet, "a long, b long")))
     sizes = cluster.groupBy("component").agg(F.count("*").alias("n"))
-    asked = cluster.join(sizes, "component").join(nodes, "node").select("rid", "node", "component", "n", "copies")
+    asked = cluster.join(sizes, "component").join(nodes, "node").select("of", "node", "component", "n", "copies")
 
     def collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -283,7 +326,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, least: float = LEAST,
             sets = [h[a:z].tobytes() for a, z in zip(first.tolist(), first[1:].tolist(), strict=False)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("component", "n", "node", "copies")), pa.array(sets, pa.binary())], ["component", "n", "node", "copies", "members"])
 
-    sets = rows.select("rid", "text").join(asked, "rid").mapInArrow(collect_sets, "component long, n long, node long, copies long, members binary")
+    sets = _text_of(rows, asked).drop("of").mapInArrow(collect_sets, "component long, n long, node long, copies long, members binary")
     pairs = _blocks(sets, "component", "node", "n", block).select("component", "i", "j", "own", "node", "copies", "members")
     pairs = pairs.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
 
@@ -311,8 +354,9 @@ def similar_documents(docs: DataFrame, words: int = WORDS, least: float = LEAST,
     component = components(exact.select("a", "b"))
     known = nodes.join(links, "node", "left").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = known.groupBy("component").agg(F.min("first_doc").alias("class_id"))
-    known = known.join(classes, "component").select("node", "class_id", "component", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = seen.select("doc_id", "rid", "size", F.when(F.col("size") > 0, F.col("node")).alias("node")).join(known, "node", "left")
+    known = known.join(classes, "component").select("d1", "d2", "class_id", "component", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    some = F.col("size") > 0
+    out = seen.select("doc_id", "rid", "size", *[F.when(some, F.col(d)).alias(d) for d in ("d1", "d2")]).join(known, ["d1", "d2"], "left")
     bare = F.col("size") == 0
     return out.select(
         "doc_id", "rid", F.when(bare, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
@@ -330,7 +374,9 @@ def one_of_each(docs: DataFrame, words: int = WORDS, least: float = LEAST, recal
     last). Rows without words all stay."""
     found = similar_documents(docs, words, least, recall)
     best = found.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "rid")).alias("b"))
-    stay = best.select(F.col("b.rid").alias("_rid"), F.lit(True).alias("_one")).unionByName(found.where("component is null").select(F.col("rid").alias("_rid"), F.lit(False).alias("_one"))).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.lit(9), "doc_id", F.coalesce("text", F.lit(""))).alias("_rid")).join(stay, "_rid")
+    best = best.select(F.col("b.rid").alias("_rid"), F.col("b.doc_id").alias("_id"), F.lit(True).alias("_one"))
+    stay = best.unionByName(found.where("component is null").select(F.col("rid").alias("_rid"), F.col("doc_id").alias("_id"), F.lit(False).alias("_one"))).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.lit(9), "doc_id", F.coalesce("text", F.lit(""))).alias("_rid"))
+    rows = rows.join(stay, "_rid").where(F.col("row.doc_id").eqNullSafe(F.col("_id")))
     # Of a full duplicate one row stays.
-    return rows.where("not _one").unionByName(rows.where("_one").dropDuplicates(["_rid"])).select("row.*")
+    return rows.where("not _one").unionByName(rows.where("_one").dropDuplicates(["_rid", "_id"])).select("row.*")

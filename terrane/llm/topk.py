@@ -13,6 +13,8 @@ from .common import shuffle_parts
 
 #: Queries and candidates that meet in one cell at most, queries scored together, and candidates scored at once.
 QUERY_ROWS, GROUP_ROWS, CHUNK, BLOCK = 16384, 65536, 32, 2048
+#: Share of a block's rows from which on a term's postings are kept as a dense row of weights.
+DENSE = 0.25
 #: Cells for each task, if the table is small enough for cells below the sizes above.
 CELLS = 2
 
@@ -36,6 +38,7 @@ class Postings:
 
     def __init__(self, flat: np.ndarray, at: np.ndarray):
         self.rows = len(at) - 1
+        self.block: np.ndarray | None = None
         size = np.diff(at)
         row = np.repeat(np.arange(self.rows), size)
         term = np.arange(len(flat)) - np.repeat(at[:-1] - at[0], size)
@@ -44,29 +47,34 @@ class Postings:
         self.row, self.weight = row[there][order], flat[there][order]
         terms, first = np.unique(term[there][order], return_index=True)
         self.lists = {int(t): slice(int(a), int(b)) for t, a, b in zip(terms, first, [*first[1:], len(order)], strict=True)}
+        self.dense = [t for t, at in self.lists.items() if at.stop - at.start >= DENSE * self.rows]
         self.most = max((abs(int(x)) for x in (self.weight.min(), self.weight.max())), default=0) if len(self.weight) else 0
 
+    def weights(self, terms: list[int], kind: type) -> np.ndarray:
+        """The weights of some terms as dense rows, 0 where there is no posting."""
+        out = np.zeros((len(terms), self.rows), kind)
+        for i, t in enumerate(terms):
+            if (at := self.lists.get(t)) is not None:
+                out[i, self.row[at]] = self.weight[at]
+        return out
+
     def scores(self, queries: Postings) -> np.ndarray:
         """Inner products of all queries with all rows, one term after the other: doubles if no sum can pass 53 bits, which
-        they hold exactly, else 64-bit integers if none can pass 62, else Python's."""
+        they hold exactly, else 64-bit integers if none can pass 62, else Python's. In doubles the terms that many rows
+        have are added together, as no order of such sums makes a difference."""
         most = self.most * queries.most * max(1, len(self.lists))
         kind = np.float64 if most < 1 << 53 else np.int64 if most < 1 << 62 else object
+        together = set(self.dense) if kind is np.float64 else set()
         out = np.zeros((queries.rows, self.rows), kind)
-        full: list[tuple[np.ndarray, np.ndarray]] = []
+        if together:
+            if self.block is None:
+                self.block = self.weights(self.dense, kind)
+            out += queries.weights(self.dense, kind).T @ self.block
         for t, q in queries.lists.items():
-            if (at := self.lists.get(t)) is None:
+            if t in together or (at := self.lists.get(t)) is None:
                 continue
-            row, of = self.row[at], queries.row[q]
             weight, by = self.weight[at].astype(kind, copy=False), queries.weight[q].astype(kind, copy=False)
-            if len(row) == self.rows and len(of) == queries.rows:
-                full.append((by, weight))
-            else:
-                out[of[:, None], row[None, :]] += by[:, None] * weight[None, :]
-        # Terms that every row and query has are added together: in doubles no order of the sums makes a difference.
-        step = len(full) if kind is np.float64 else 1
-        for low in range(0, len(full), max(step, 1)):
-            by, weight = (np.stack(x) for x in zip(*full[low : low + step], strict=True))
-            out += by.T @ weight if step > 1 else by[0][:, None] * weight[0][None, :]
+            out[queries.row[q][:, None], self.row[at][None, :]] += by[:, None] * weight[None, :]
         return out
 
 

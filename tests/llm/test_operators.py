@@ -227,15 +227,51 @@ def test_jaccard_join_edge_cases(nasty, nothing):
 
 
 def test_runs_reach_the_recall():
-    assert jaccard_join.runs_for(0.999) >= 10
+    """Pairs at the least similarity: how many share a path of the first, and of the fourth level, and pass the sketches."""
+    assert 8 <= jaccard_join.runs_for(0.999) <= 12
     r = np.random.default_rng(1)
-    met = 0
-    for _ in range(300):
-        both, a, b = r.integers(0, 1 << 63, 80), r.integers(0, 1 << 63, 10), r.integers(0, 1 << 63, 10)
-        sets = [np.sort(np.r_[both, x].astype(np.uint64)) for x in (a, b)]
-        (s, p), _ = jaccard_join.paths(np.concatenate(sets), np.array([0, 90, 180]), jaccard_join.runs_for(0.999), 0.8)
-        met += bool(set(p[s == 0].tolist()) & set(p[s == 1].tolist()))
-    assert met >= 298
+    runs, n = jaccard_join.runs_for(0.999), 600
+    met, deep, alike = 0, 0, 0
+    for _ in range(n):
+        both, a, b = (r.integers(0, 1 << 63, k).astype(np.uint64) for k in (240, 30, 30))
+        sets = [np.sort(np.r_[both, x]) for x in (a, b)]
+        first = np.array([0, 270, 540])
+        s, p = jaccard_join.paths(np.concatenate(sets), first, runs, 0.8)
+        level = [p[s == k] for k in (0, 1)]
+        met += len(np.intersect1d(*level)) > 0
+        for _ in range(3):
+            level = [np.unique(jaccard_join.paths_below(h, np.intersect1d(*level), 0.8)[1]) for h in sets]
+        deep += len(np.intersect1d(*level)) > 0
+        alike += jaccard_join.maybe_similar(jaccard_join.sketches(np.concatenate(sets), first), np.array([270, 270]), 0.8)[0, 1]
+    assert met >= n - 2 and deep >= n - 3 and alike >= n - 1
+
+
+def test_jaccard_join_goes_down_levels(spark):
+    """Many sets with a common part of half their words: all share paths, few are similar."""
+    r = random.Random(6)
+    common = [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join(common + [f"w{r.randint(0, 10**6)}" for _ in range(60)])) for i in range(150)]
+    rows += [(1000 + i, t + (" x" if i % 2 else "")) for i, (_, t) in enumerate(rows[:20])]
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string"), small=4, block=8) == brute_join(rows)
+
+
+def test_jaccard_join_tells_sets_of_one_digest(spark, monkeypatch):
+    """All first digests collide: the second ones keep the sets apart."""
+    real = jaccard_join.set_digest
+    monkeypatch.setattr(jaccard_join, "set_digest", lambda h, first: (real(h, first)[0] % np.uint64(3), real(h, first)[1]))
+    rows = near_rows()[:60]
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == brute_join(rows)
+
+
+def test_join_and_removal_of_regular_words(spark):
+    """Words that sums of powers can't tell apart are different words."""
+    word = "ab"
+    for _ in range(9):
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    df = docs(spark, [" ".join([word] * 60), " ".join([other] * 60), " ".join([other] * 70)])
+    assert [r.n_removed for r in substring.removal_digests(df).orderBy("doc_id").collect()] == [0, 0, 70]
+    assert [r.class_id for r in jaccard_join.similar_documents(df).orderBy("doc_id").collect()] == [0, 1, 1]
 
 
 def test_components(spark):
