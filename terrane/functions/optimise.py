@@ -7,10 +7,11 @@ from collections.abc import Callable
 import numpy as np
 
 
-def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, scale: np.ndarray | None = None, max_evaluations: int = 300, tolerance: float = 1.5e-8) -> tuple[np.ndarray, float, int, bool]:
+def nelder_mead(f: Callable[[np.ndarray], float] | None, start: np.ndarray, scale: np.ndarray | None = None, max_evaluations: int = 300, tolerance: float = 1.5e-8, together: Callable[[np.ndarray], list[float]] | None = None) -> tuple[np.ndarray, float, int, bool]:
     """The best point, its value, the number of evaluations, and whether the values' spread fell below the tolerance.
 
-    The first simplex steps a tenth of the largest scaled coordinate along each axis.
+    The first simplex steps a tenth of the largest scaled coordinate along each axis. together, in place of f, takes
+    several points (as rows) at once: all that a step may ask for, of which those that it uses count as evaluations.
     """
     scale = np.ones(len(start)) if scale is None else np.where(scale == 0, 1.0, scale)
     n = len(start)
@@ -19,13 +20,13 @@ def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, scale: np.n
     points = np.vstack([x0, x0 + step * np.eye(n)])
     calls = 0
 
-    def value(x: np.ndarray) -> float:
+    def every(x: np.ndarray) -> np.ndarray:
         nonlocal calls
-        calls += 1
-        v = f(x * scale)
-        return v if np.isfinite(v) else np.inf
+        calls += len(x)
+        v = np.array(together(x * scale) if together else [f(p * scale) for p in x], float)
+        return np.where(np.isfinite(v), v, np.inf)
 
-    values = np.array([value(p) for p in points])
+    values = every(points)
     done = False
     while calls < max_evaluations:
         order = np.argsort(values, kind="stable")
@@ -35,20 +36,30 @@ def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, scale: np.n
             break
         middle = points[:-1].mean(0)
         away = middle - points[-1]
-        new, v = middle + away, value(middle + away)
+        tries = middle + np.outer([1, 2, 0.5, -0.5], away)
+        known = every(tries) if together else None
+        calls -= len(tries) if together else 0
+
+        def at(k: int) -> float:
+            nonlocal calls
+            if known is None:
+                return every(tries[k : k + 1])[0]
+            calls += 1
+            return known[k]
+
+        v = at(0)
         if v < values[0]:
-            far = middle + 2 * away
-            w = value(far)
-            points[-1], values[-1] = (far, w) if w < v else (new, v)
+            w = at(1)
+            points[-1], values[-1] = (tries[1], w) if w < v else (tries[0], v)
         elif v < values[-2]:
-            points[-1], values[-1] = new, v
+            points[-1], values[-1] = tries[0], v
         else:
-            near = middle + 0.5 * away if v < values[-1] else middle - 0.5 * away
-            w = value(near)
+            near = 2 if v < values[-1] else 3
+            w = at(near)
             if w < min(v, values[-1]):
-                points[-1], values[-1] = near, w
+                points[-1], values[-1] = tries[near], w
             else:
                 points[1:] = points[0] + 0.5 * (points[1:] - points[0])
-                values[1:] = [value(p) for p in points[1:]]
+                values[1:] = every(points[1:])
     best = int(np.argmin(values))
     return points[best] * scale, float(values[best]), calls, done

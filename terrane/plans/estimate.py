@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.kernels import Model, check
 from ..functions.optimise import nelder_mead
 from ..functions.conditional import Posterior
-from .evaluate import predict, run
+from ..sources.storage import materialise
+from .evaluate import logliks, predict, response_rows, run
 from .specify import Plan, specify
 
 #: Points from which the default range is taken.
@@ -73,7 +74,9 @@ def estimate(points: DataFrame, values: DataFrame, m: int = 20, model: Model = "
     """Maximum likelihood for the covariance parameters and the nugget, by Nelder-Mead on their logarithms.
 
     points: (loc_id, coords); values: (loc_id, z[, x]). start ends with the nugget and is required unless the model is
-    matern. The plan is made once; the search runs in one task that holds its rows. Raises if a smoothness above 10 is tried.
+    matern. The plan is made once. For the rule z without missing values each step of the search is one job over all rows
+    of the plan, for all parameters that the step may need; for other rules the search runs in one task that holds the rows.
+    Raises if a smoothness above 10 is tried.
     """
     residual, beta = detrend(values, trend)
     if start is None:
@@ -87,17 +90,34 @@ def estimate(points: DataFrame, values: DataFrame, m: int = 20, model: Model = "
         check(model, start[:-1])
     plan = plan or specify(points, m, **options)
 
+    def check_smoothness(theta: np.ndarray) -> None:
+        if model == "matern" and theta[2] > 10:
+            raise ValueError("the smoothness went above 10: give other start values or fix it")
+
+    logs = np.log(start)
+    if plan.cond_yz == "z" and not plan.n_pred and not residual.where("z is null").limit(1).count():
+        rows = materialise(response_rows(plan, residual))
+
+        def together(points_: np.ndarray) -> list[float]:
+            thetas = np.exp(points_)
+            check_smoothness(thetas[0])
+            # Others beyond the limit are only tried ahead, and lose against any value.
+            usable = [t for t in thetas if not (model == "matern" and t[2] > 10)]
+            found = iter(logliks(rows, [t[:-1].tolist() for t in usable], [float(t[-1]) for t in usable], model))
+            return [np.inf if model == "matern" and t[2] > 10 else -next(found) for t in thetas]
+
+        best, value, calls, done = nelder_mead(None, logs, logs, max_evaluations, tolerance, together)
+        return Fit(model, np.exp(best[:-1]).tolist(), float(np.exp(best[-1])), beta, trend, -value, calls, done, points, residual)
+
     def search(p, rows, z, noise) -> pd.DataFrame:
         def cost(logs: np.ndarray) -> float:
             theta = np.exp(logs)
-            if model == "matern" and theta[2] > 10:
-                raise ValueError("the smoothness went above 10: give other start values or fix it")
+            check_smoothness(theta)
             try:
                 return -Posterior(rows, z, np.full(len(z), theta[-1]), model, theta[:-1].tolist()).loglik()
             except np.linalg.LinAlgError:
                 return np.inf
 
-        logs = np.log(start)
         best, value, calls, done = nelder_mead(cost, logs, logs, max_evaluations, tolerance)
         return pd.DataFrame({"theta": [np.exp(best).tolist()], "loglik": [-value], "calls": [calls], "done": [done]})
 

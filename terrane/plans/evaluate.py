@@ -182,23 +182,75 @@ def loglik_rows(plan: Plan, values: DataFrame, parameters: Sequence[Sequence[flo
     """
     if plan.cond_yz != "z":
         raise ValueError("the log-likelihood is a sum over points for the rule z only")
-    rows = plan.with_neighbors(values.select("loc_id", F.col("z").cast("double"), F.lit(0.0).alias("nugget")))
+    rows = response_rows(plan, values)
+    return rows.mapInArrow(lambda batches: _parts(batches, parameters, nuggets, model), "theta int, pos long, part double")
+
+
+def response_rows(plan: Plan, values: DataFrame) -> DataFrame:
+    """The plan's rows with the values of their neighbours, as what is a sum over points takes them."""
+    return plan.with_neighbors(values.select("loc_id", F.col("z").cast("double"), F.lit(0.0).alias("nugget")))
+
+
+def logliks(rows: DataFrame, parameters: Sequence[Sequence[float]], nuggets: Sequence[float], model: Model = "matern") -> list[float]:
+    """The log-likelihood of each set of parameters on written response_rows of a plan of rule z: one job, in which each task
+    sends one sum for each set. NaN where a covariance matrix isn't positive definite."""
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(parameters))
+        for b in _parts(batches, parameters, nuggets, model, failing=np.nan):
+            if b.num_rows:
+                sums[b.column("theta")[0].as_py()] += np.asarray(b.column("part")).sum()
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()])], ["sums"])
+
+    got = [r["sums"] for r in rows.mapInArrow(total, "sums array<double>").collect()]
+    # The exact sum of the tasks' doubles: the same whatever their order.
+    return [math.fsum(s[t] for s in got) if all(math.isfinite(s[t]) for s in got) else math.nan for t in range(len(parameters))]
+
+
+def _parts(batches: Iterator[pa.RecordBatch], parameters: Sequence[Sequence[float]], nuggets: Sequence[float], model: Model, failing: float | None = None) -> Iterator[pa.RecordBatch]:
+    """theta (place in parameters), pos, part. failing: the parts of a batch with a matrix that isn't positive definite; None
+    raises."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        pos, nbr, on, x, z, _, seen = _unpack(b)
+        z = np.where(nbr >= 0, z, 0.0)
+        for t, (theta, tau) in enumerate(zip(parameters, nuggets, strict=True)):
+            try:
+                u = u_columns(x, nbr, on, np.full(nbr.shape, float(tau)), model, theta, pos)
+            except np.linalg.LinAlgError:
+                if failing is None:
+                    raise
+                u = np.full(nbr.shape, failing)
+            s = np.where(on, 0.0, u * z).sum(1)
+            w = u[:, 0] ** 2 + 1 / tau
+            half = u[:, 0] * s - z[:, 0] / tau
+            part = -0.5 * (s * s + z[:, 0] ** 2 / tau - half * half / w + np.log(w) - 2 * np.log(u[:, 0]) + math.log(tau) + math.log(2 * math.pi))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(seen.sum(), t, np.int32)), pa.array(pos[seen]), pa.array(part[seen])], ["theta", "pos", "part"])
+
+
+def predict_rows(plan: Plan, values: DataFrame, parameters: Sequence[float], nugget: float, model: Model = "matern") -> DataFrame:
+    """loc_id, is_obs, mean, var for a response-first plan in which every neighbour enters by its response (LK with
+    independent predictions): each point's value hangs on its own row only, so all tasks work."""
+    rows = plan.with_neighbors(observations(plan, values, nugget))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            pos, nbr, on, x, z, _, seen = _unpack(b)
-            z = np.where(nbr >= 0, z, 0.0)
-            for t, (theta, tau) in enumerate(zip(parameters, nuggets, strict=True)):
-                u = u_columns(x, nbr, on, np.full(nbr.shape, float(tau)), model, theta, pos)
-                s = np.where(on, 0.0, u * z).sum(1)
-                w = u[:, 0] ** 2 + 1 / tau
-                half = u[:, 0] * s - z[:, 0] / tau
-                part = -0.5 * (s * s + z[:, 0] ** 2 / tau - half * half / w + np.log(w) - 2 * np.log(u[:, 0]) + math.log(tau) + math.log(2 * math.pi))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(seen.sum(), t, np.int32)), pa.array(pos[seen]), pa.array(part[seen])], ["theta", "pos", "part"])
+            pos, nbr, on, x, z, noise, seen = _unpack(b)
+            u = u_columns(x, nbr, on, noise, model, parameters, pos)
+            s = np.where(on | (nbr < 0), 0.0, u * np.nan_to_num(z)).sum(1)
+            yield pa.RecordBatch.from_arrays([b.column("loc_id"), pa.array(seen), pa.array(-s / u[:, 0]), pa.array(1 / u[:, 0] ** 2)], ["loc_id", "is_obs", "mean", "var"])
+
+    return rows.mapInArrow(work, "loc_id long, is_obs boolean, mean double, var double")
+
 
-    return rows.mapInArrow(work, "theta int, pos long, part double")
+def _by_rows(plan: Plan, values: DataFrame, nugget: float | None, model: Covariance) -> bool:
+    """Whether predict_rows gives the whole answer: noise everywhere, no missing values, no latent neighbours."""
+    if not plan.response_first or not nugget or isinstance(model, DataFrame):
+        return False
+    return not plan.flags.where("slot > 0 and on_latent").limit(1).count() and not values.where("z is null").limit(1).count()
 
 
 def loglik(plan: Plan, values: DataFrame, parameters: Sequence[float], nugget: float | None, model: Covariance = "matern") -> DataFrame:
@@ -237,6 +289,9 @@ def predict(plan: Plan, values: DataFrame, parameters: Sequence[float], nugget:
     or all. Observations without noise are their own mean, with variance 0. Variances are exact at any number of points."""
     if returns not in ("mean", "meanvar", "meanmat", "all"):
         raise ValueError("returns is mean, meanvar, meanmat or all")
+    if returns in ("mean", "meanvar") and _by_rows(plan, values, nugget, model):
+        out = predict_rows(plan, values, parameters, nugget, model)
+        return out.drop("var") if returns == "mean" else out
     entries, posterior = _of_table(plan, values, nugget, model, parameters)
     var = returns in ("meanvar", "all")
 

@@ -657,6 +657,18 @@ def predict_nearest_lk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predict_nearest(spark, sf_dir, "LK")
 
 
+@query(
+    f"""WITH {P2}, {GRID_SQL}, n AS (SELECT a.loc_id, b.z, exp(-{D2} / {THETA2[1]}::DOUBLE) AS c, row_number() OVER (PARTITION BY a.loc_id ORDER BY {D2}, b.pos) AS k FROM g a, o2 b)
+    SELECT loc_id, true AS is_obs, round(z / {1 + NUGGET}::DOUBLE, 6) + 0 AS mean, round({NUGGET}::DOUBLE / {1 + NUGGET}::DOUBLE, 6) AS var FROM o2
+    UNION ALL SELECT loc_id, false, round(c * z / {1 + NUGGET}::DOUBLE, 6) + 0, round(1 - c * c / {1 + NUGGET}::DOUBLE, 6) FROM n WHERE k = 1"""
+)
+def predict_rows_lk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions that hang on their own rows only, in all tasks."""
+    p = points.pts2d(spark, sf_dir)
+    plan = specify(p, 1, grid_points(spark), order="coord", cond_yz="LK", order_pred="obspred", pred_cond="independent")
+    return evaluate.predict(plan, p, THETA2, NUGGET).withColumns({"mean": six("mean") + 0.0, "var": six("var")})
+
+
 @query(f"{_nearest_sql('zy')} SELECT loc_id AS comb_id, round(0.25::DOUBLE * var, 6) AS var FROM f WHERE NOT is_obs OR loc_id % 40 = 1 UNION ALL SELECT 0, round({NUGGET}::DOUBLE / {1 + NUGGET}::DOUBLE / count(*), 9) FROM f WHERE is_obs")
 def lincomb_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan, p = _nearest_plan(spark, sf_dir, "zy")
