@@ -4,9 +4,10 @@
    document that has the block. A window of WINDOW = 2 * BLOCK words holds a whole block of any document it stands in.
 2. Probe. Every rolling run of BLOCK words is looked up. Both sides travel as sorted packed arrays, one row for a
    hash range and a slice of text, not a row for each word. A hit is a block of a document with a smaller id.
-3. Extend. Around hits, windows that hold the block at any offset are looked up in the same way by the hash of all
-   their words. A window whose sequence starts in a smaller document goes; consecutive ones make up the maximal exact
-   repeat around the block.
+3. Extend. Around hits, windows that hold the block at any offset are looked up in the same way, by two independent
+   hashes of all their words (126 bits), each made from its own hash of every word's bytes. A window whose sequence
+   starts in a smaller document goes; consecutive ones make up the maximal exact repeat around the block. The words of
+   a repeat are told by these hashes, not fetched from the other document.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .common import Words, materialise, mix, shuffle_parts, slices, text_bytes
 WINDOW = 50
 #: Bytes of text whose hashes are packed together: more take fewer bytes for each hash.
 TOGETHER = 4 << 20
+#: Tasks among which the probes of a hash range are dealt (each has the range's index), and text for each task, about.
+SPREAD, TASK_BYTES = 4, 16 << 20
 
 _U = np.uint64
 
@@ -52,22 +55,24 @@ def _read_small(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, np.uint16 if packed[0] == 2 else np.uint32, offset=1)
 
 
-def _rows(kind: int, h: np.ndarray, doc: np.ndarray, ids: np.ndarray, bits: int, ranges: int) -> list[tuple]:
-    """Rows (part, kind, hashes, docs, ids) of hashes with the place of their document in ids, by range of the hash."""
+def _rows(kind: int, h: np.ndarray, check: np.ndarray | None, doc: np.ndarray, ids: np.ndarray, bits: int, ranges: int) -> list[tuple]:
+    """Rows (part, kind, hashes, checks, docs, ids) of hashes with the place of their document in ids, by range of the hash.
+
+    A range is a number of parts, SPREAD of them: all get the index, one the probes of these documents.
+    """
     if not len(h):
         return []
-    order = np.lexsort((doc, h))
-    h, doc = h[order], doc[order]
-    if kind:
-        new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
-    else:  # the index needs each hash's smallest document only
-        least = ids[doc]
-        order = np.lexsort((least, h))
-        h, doc = h[order], doc[order]
-        new = np.r_[True, h[1:] != h[:-1]]
-    h, doc = h[new], doc[new]
+    if check is None:
+        check = np.zeros(len(h), _U)
+    least = ids[doc]
+    # The index needs each hash's smallest document only.
+    order = np.lexsort((doc if kind else least, check, h))
+    h, check, doc = h[order], check[order], doc[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (check[1:] != check[:-1]) | (bool(kind) & (doc[1:] != doc[:-1]))]
+    h, check, doc = h[new], check[new], doc[new]
     part = (h >> _U(bits - 32)) * _U(ranges) >> _U(32)
     cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(h)]
+    salt = int(mix(ids[:1].view(_U))[0] % _U(SPREAD))
     out = []
     for a, b in zip(cut, cut[1:], strict=False):
         used, place = np.unique(doc[a:b], return_inverse=True)
@@ -75,16 +80,18 @@ def _rows(kind: int, h: np.ndarray, doc: np.ndarray, ids: np.ndarray, bits: int,
         by = np.argsort(own, kind="stable")  # ids in order differ by little
         turn = np.empty(len(by), np.int64)
         turn[by] = np.arange(len(by))
-        out.append((int(part[a]), kind, pack(h[a:b]), _small(turn[place]), pack(own[by].view(_U))))
+        row = (kind, pack(h[a:b]), check[a:b].tobytes() if check.any() else b"", _small(turn[place]), pack(own[by].view(_U)))
+        out += [(int(part[a]) * SPREAD + s, *row) for s in ([salt] if kind else range(SPREAD))]
     return out
 
 
-_SENT = "part int, kind int, hashes binary, docs binary, ids binary"
+_NAMES = ["part", "kind", "hashes", "checks", "docs", "ids"]
+_SENT = "part int, kind int, hashes binary, checks binary, docs binary, ids binary"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "kind", "hashes", "docs", "ids"])
+    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], _NAMES)
 
 
 #: Answers that a lookup task gathers before it sends them.
@@ -142,54 +149,68 @@ def _lookup(sent: DataFrame, parts: int, bits: int, references: bool) -> DataFra
     another one hits is told so too.
 
     A task holds the index of its hash range (each slice sends a hash once, with its smallest document) and lets the
-    probes stream past, so a hash that a third of all documents have costs time, not memory.
+    probes stream past, so a hash that a third of all documents have costs time, not memory. Its probes are dealt among
+    SPREAD tasks. parts: as many as text asks for, a multiple of SPREAD.
     """
     width = (bits + 7) // 8
     dealt = sent.repartition(parts, "part").sortWithinPartitions("part", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, fresh, found = None, [], []
-        h, least, used = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, bool)
+        h, check, least, used = np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, bool)
 
         def index() -> None:
-            nonlocal h, least, used
+            nonlocal h, check, least, used
             if fresh:
-                h_, doc_ = np.concatenate([h, *(x for x, _ in fresh)]), np.concatenate([least, *(x for _, x in fresh)])
-                order = np.lexsort((doc_, h_))
-                h_, doc_ = h_[order], doc_[order]
-                first = np.r_[True, h_[1:] != h_[:-1]]
-                h, least = h_[first], doc_[first]
+                h_, check_, doc_ = (np.concatenate(x) for x in zip((h, check, least), *fresh, strict=True))
+                order = np.lexsort((doc_, check_, h_))
+                h_, check_, doc_ = h_[order], check_[order], doc_[order]
+                first = np.r_[True, (h_[1:] != h_[:-1]) | (check_[1:] != check_[:-1])]
+                h, check, least = h_[first], check_[first], doc_[first]
                 used = np.zeros(len(h), bool)
                 fresh.clear()
 
         def close() -> None:
-            nonlocal h, least, used
+            nonlocal h, check, least, used
             if references and used.any():
                 found.append((least[used], h[used]))
-            h, least, used = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, bool)
+            h, check, least, used = np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, bool)
             fresh.clear()
 
+        def look(value: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Where each pair of hashes stands in the index, and whether it does."""
+            at = np.searchsorted(h, value)
+            while True:
+                at = np.minimum(at, len(h) - 1)
+                hit = (h[at] == value) & (check[at] == wide)
+                on = ~hit & (h[at] == value) & (at + 1 < len(h))
+                on[on] = h[at[on] + 1] == value[on]  # another one with the same first hash
+                if not on.any():
+                    return at, hit
+                at = at + on
+
         def send(most: int) -> Iterator[pa.RecordBatch]:
             if found and sum(len(x) for x, _ in found) > most:
                 yield _answers(found, parts, width)
                 found.clear()
 
         for b in batches:
-            for part, kind, hashes, docs, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for part, kind, hashes, checks, docs, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if part != now:
                     close()
                     now = part
                 value, doc = unpack(hashes), unpack(ids).view(np.int64)[_read_small(docs)]
+                wide = np.frombuffer(checks, _U) if checks else np.zeros(len(value), _U)
                 if not kind:
-                    fresh.append((value, doc))
-                    if sum(len(x) for x, _ in fresh) > 1 << 20:
+                    fresh.append((value, wide, doc))
+                    if sum(len(x[0]) for x in fresh) > 1 << 20:
                         index()
                     continue
                 index()
                 if not len(h):
                     continue
-                at = np.minimum(np.searchsorted(h, value), len(h) - 1)
-                hit = (h[at] == value) & (least[at] < doc)
+                at, hit = look(value, wide)
+                hit &= least[at] < doc
                 if hit.any():
                     used[at[hit]] = True
                     found.append((doc[hit], value[hit]))
@@ -214,16 +235,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Windows are judged on the input and lie in one document. Rows that repeat a doc_id don't count against each other.
     A row without doc_id takes no part: it keeps its words and is no reference. Other columns are ignored.
 
-    A window is known by a 62-bit hash of its words: of n windows that lie around hits, about n * n / 2**63 pairs are
-    taken for equal in error.
+    An empty table gives an empty result; a very long text is one document like others and its words are held in one
+    task. A window is known by 126 bits of two independent hashes: of n windows that lie around hits, about n * n / 2**127
+    pairs are taken for equal in error.
     """
     spark = docs.sparkSession
-    parts = shuffle_parts(spark)
     block = (window + 1) // 2
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # Enough bits that a false hit is rare (it only costs a lookup of its windows), and not more to send.
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(60, max(36, int(total // (4 * block) + 1).bit_length() + 14))
+    ranges = -(-max(shuffle_parts(spark), int(total // TASK_BYTES)) // SPREAD)
+    parts = ranges * SPREAD
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", TOGETHER):
@@ -233,7 +256,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             h >>= _U(64 - bits)
             doc = w.doc[at]
             aligned = (at - w.first[doc]) % block == 0
-            if out := [*_rows(0, h[aligned], doc[aligned], ids, bits, parts), *_rows(1, h, doc, ids, bits, parts)]:
+            if out := [*_rows(0, h[aligned], None, doc[aligned], ids, bits, ranges), *_rows(1, h, None, doc, ids, bits, ranges)]:
                 yield _batch(out)
 
     known = rows.where("doc_id is not null")
@@ -253,7 +276,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             np.add.at(near, hot + 1, -1)
             close = np.cumsum(near)[start] > 0
             h, doc = wide[close] >> _U(2), w.doc[start[close]]
-            if out := [*_rows(0, h, doc, ids, 62, parts), *_rows(1, h, doc, ids, 62, parts)]:
+            check = w.grams(window, w.hashes(seed=1) * _U(0xD6E8FEB86659FD93))[0][close]
+            if out := [*_rows(0, h, check, doc, ids, 62, ranges), *_rows(1, h, check, doc, ids, 62, ranges)]:
                 yield _batch(out)
 
     gone = _lookup(held.where("hits is not null").mapInArrow(extend, _SENT), parts, 62, references=False)
