@@ -234,8 +234,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = ANCHOR, sh
     found = materialise(found.join(often, "anchor").select("rid", "anchor", "piece", "n"))
 
     pieces = found.groupBy("anchor", "piece").agg(F.sum("n").alias("n"), F.min("rid").alias("rid"))
-    kinds = pieces.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    pieces = materialise(pieces.join(kinds, "anchor"))
+    # Only shards in several parts need their number of pieces: few rows, so that the pieces may stay where they are.
+    pieces = materialise(pieces)
+    kinds = pieces.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > shard_pieces)
+    pieces = pieces.join(kinds, "anchor", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1)))
     asked = pieces.groupBy("rid").agg(F.collect_list(F.struct("anchor", "piece", "n", "kinds")).alias("asked"))
     touched = found.select("rid").distinct().join(asked, "rid", "left").withColumn("hit", F.lit(True))
     held = materialise(
