@@ -77,7 +77,7 @@ class ByteBPE:
         They don't if some token that ends a and some that begins b, at the time when both stand there, merge. Going
         back in time, the younger of the two is split until both are single bytes.
         """
-        key = a << 20 | b
+        key = a * len(self.vocab) + b
         if (known := self.fits.get(key)) is not None:
             return known
         pair, halves, limit, fits = self.pair, self.halves, len(self.vocab), True

@@ -43,9 +43,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (as in tests) below a temporary folder."""
+    """A new folder below spark.checkpoint.dir; where that is unset on one machine (as in tests) below a temporary folder. On
+    a cluster it must be set, as executors and driver share no other folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="terrane-"))
         root = _own_dir[0]
@@ -160,11 +163,11 @@ def prefix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _SHORT = 64
 
 
-def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hashes of data[start:end] for each pair; data: bytes. No sums of powers: every eight bytes are mixed into
-    what came before, so that regular words don't collide."""
+    what came before, so that regular words don't collide. Hashes of different seeds are independent."""
     size = end - start
-    out = mix(size.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(1))
+    out = mix(size.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(2 * seed + 1))
     if not len(size):
         return out
     wide = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
@@ -178,7 +181,7 @@ def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         out[live] = mix(out[live] ^ mix((eight << spare) + _U(0xD6E8FEB86659FD93)))
     long = np.flatnonzero(size > _SHORT)
     if len(long):
-        out[long] = [xxhash.xxh3_64_intdigest(data[s:e].tobytes()) for s, e in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+        out[long] = [xxhash.xxh3_64_intdigest(data[s:e].tobytes(), seed) for s, e in zip(start[long].tolist(), end[long].tolist(), strict=True)]
     return out
 
 
@@ -217,8 +220,8 @@ class Words:
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(at) - 1), self.count)
 
-    def hashes(self) -> np.ndarray:
-        return spans_hash(self.data, self.start, self.end)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        return spans_hash(self.data, self.start, self.end, seed)
 
     def grams(self, k: int, word_hash: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of k words inside one text, and the index of each run's first word."""

@@ -145,6 +145,43 @@ def test_without_repeats_keeps_rows_and_columns(spark, nasty, nothing):
     assert suffix_dedup.without_repeats(nothing).count() == 0 and suffix_dedup.removal_digests(nothing).count() == 0
 
 
+def test_long_texts(spark):
+    """Texts of 2, 5 and 10 MB, beyond all steps: what is found in them and across them."""
+    r = np.random.default_rng(9)
+    words = np.array([f"w{i}" for i in range(50000)])
+    long = [" ".join(words[r.integers(0, len(words), n)]) for n in (330_000, 830_000, 1_660_000)]
+    texts = [long[0], long[1], long[2], "x " + long[1][5000:4_000_000] + " y", long[2]]
+    df = docs(spark, texts)
+    got = {x.doc_id: x for x in suffix_dedup.removal_digests(df).collect()}
+    size = [len(t) for t in texts]
+    assert [got[i].n_bytes for i in range(5)] == size
+    # The copied part, and a byte on either side where the neighbours happen to agree.
+    assert got[0].n_removed == 0 and got[2].n_removed == size[2] and got[4].n_removed == size[4]
+    assert 3_995_000 <= got[1].n_removed <= 3_995_004 and size[3] - 4 <= got[3].n_removed <= size[3] - 2
+    got = {x.doc_id: x for x in substring.removal_digests(df).collect()}
+    count = [len(t.split()) for t in texts]
+    assert [got[i].n_words for i in range(5)] == count
+    assert [got[i].n_removed for i in (0, 1, 2, 4)] == [0, 0, 0, count[4]]
+    assert count[3] - 4 <= got[3].n_removed <= count[3] - 2
+    got = {x.doc_id: x for x in jaccard_join.similar_documents(df).collect()}
+    assert [got[i].class_id for i in range(5)] == [0, 1, 2, 3, 2] and [got[i].n_links for i in range(5)] == [0, 0, 1, 0, 1]
+
+
+def test_long_texts_in_tokens_and_scores(spark, sample, labels):
+    text = "don't stop  believin' é漢字 123 " * 65_000
+    df = docs(spark, [text, None, "", text])
+    lib = tokenizers.Tokenizer.from_file(JSON)
+    want = len(lib.encode(text, add_special_tokens=False).ids)
+    assert [x.n_tokens for x in token_count.token_counts(df, JSON).collect()] == [want, 0, 0, want]
+    got = bpe.round_trip(df, RANKS, PATTERN).collect()
+    assert got[0].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest() and got[0].n_tokens == got[3].n_tokens
+    prints = {x.doc_id: x for x in fingerprint.fingerprints(df).collect()}
+    assert prints[0].fingerprint == prints[3].fingerprint and prints[0].n_copies == 2 and prints[0].n_chars == len(text)
+    for module in (quality, toxicity):
+        scores = {x.doc_id: x.score for x in module.score(df, module.fit(sample, labels)).collect()}
+        assert scores[0] == scores[3] and scores[1] == scores[2]
+
+
 # 3
 
 

@@ -5,6 +5,7 @@ from pathlib import Path
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from terrane.llm import bpe, mixing, toxicity
@@ -91,3 +92,34 @@ def test_encoding_stage(stages):
 
 def test_run_is_the_stages(spark, stages):
     assert sorted(rows(corpus_pipeline.run(spark, SF))) == sorted(rows(stages[5]))
+
+
+def nasty(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, near, "en", "a", 5), (1, near, "en", "a", 5), (2, near + " x", "en", None, None), (None, None, None, None, None), (None, "", "de", "b", 0), (3, " ", "en", "b", 1)]
+    rows += [(None, near, "en", "a", 5), (7, "y" * 2_000_000, "en", "c", 2_000_000), (8, "z " * 500, "en", "c", 1000), (8, "other words", "en", "c", 11)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_stages_on_nulls_repeats_and_an_extra_column(spark):
+    """Every stage takes what the one before it kept; no row without words is lost before the last one."""
+    docs = nasty(spark).withColumn("rid", F.lit("own")).withColumn("copies", F.lit(1))
+    bare = docs.where("trim(coalesce(text, '')) = ''").count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = materialise(stage(spark, docs, SF))
+        assert out.columns == docs.columns, name
+        assert out.where("rid <> 'own' or copies <> 1").count() == 0
+        assert out.where("trim(coalesce(text, '')) = ''").count() >= bare, name
+        if name == "n-gram Jaccard join":
+            assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.where("text like 'w0%'").collect()) == [(False, 1)]
+        docs = out
+    ids = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert ids.count() == docs.count()
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = nasty(spark).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0
+        docs = docs if "n_tokens" in out.columns else out
