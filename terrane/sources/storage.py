@@ -17,10 +17,13 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """df written below spark.checkpoint.dir (a temporary folder if that is unset, as in tests) and read back."""
+    """df written below spark.checkpoint.dir and read back. Where that is unset, as in tests, one machine takes a temporary
+    folder; a cluster must set it."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="terrane-"))
         root = _own[0]
