@@ -20,6 +20,7 @@ from ..functions import kernels
 from ..functions.kernels import Model
 from ..functions.linalg import incomplete_cholesky
 from ..functions.conditional import Posterior, Rows, u_columns, u_of_covariances
+from ..operators.neighbors import query_neighbors
 from ..sources.storage import in_one_task
 from .specify import Plan
 
@@ -232,8 +233,10 @@ def _parts(batches: Iterator[pa.RecordBatch], parameters: Sequence[Sequence[floa
 def predict_rows(plan: Plan, values: DataFrame, parameters: Sequence[float], nugget: float, model: Model = "matern") -> DataFrame:
     """loc_id, is_obs, mean, var for a response-first plan in which every neighbour enters by its response (LK with
     independent predictions): each point's value hangs on its own row only, so all tasks work."""
-    rows = plan.with_neighbors(observations(plan, values, nugget))
+    return _own_rows(plan.with_neighbors(observations(plan, values, nugget)), model, parameters)
 
+
+def _own_rows(rows: DataFrame, model: Model, parameters: Sequence[float]) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -246,6 +249,20 @@ def predict_rows(plan: Plan, values: DataFrame, parameters: Sequence[float], nug
     return rows.mapInArrow(work, "loc_id long, is_obs boolean, mean double, var double")
 
 
+def predict_independent(points: DataFrame, values: DataFrame, queries: DataFrame, m: int, parameters: Sequence[float], nugget: float, model: Model = "matern") -> DataFrame:
+    """loc_id, mean, var of the latent values at queries (loc_id, coords), each given its m nearest observed points (points:
+    loc_id, coords; values: loc_id, z) and no other query: nothing about the observed points is ordered or factored, so
+    queries may come in any batches. Missing z are not conditioned on."""
+    seen = points.select("loc_id", "coords").join(values.where("z is not null").select("loc_id", F.col("z").cast("double")), "loc_id")
+    near = query_neighbors(queries.select(F.col("loc_id").alias("query"), "coords"), seen, m)
+    far = seen.select(F.col("loc_id").alias("nbr"), F.struct(F.lit(False).alias("on_latent"), "coords", "z", F.lit(float(nugget)).alias("nugget")).alias("x"))
+    sets = near.join(far, "nbr").select(F.col("query").alias("loc_id"), F.struct("slot", F.col("nbr").alias("nbr_pos"), "x.*").alias("e"))
+    own = queries.select("loc_id", F.struct(F.lit(0).alias("slot"), F.lit(0).cast("long").alias("nbr_pos"), F.lit(True).alias("on_latent"), "coords", F.lit(0.0).alias("z"), F.lit(0.0).alias("nugget")).alias("e"))
+    rows = own.unionByName(sets).groupBy("loc_id").agg(F.sort_array(F.collect_list("e")).alias("s"))
+    rows = rows.select(F.col("loc_id").alias("pos"), "loc_id", F.lit(False).alias("is_obs"), "s")
+    return _own_rows(rows, model, parameters).drop("is_obs")
+
+
 def _by_rows(plan: Plan, values: DataFrame, nugget: float | None, model: Covariance) -> bool:
     """Whether predict_rows gives the whole answer: noise everywhere, no missing values, no latent neighbours."""
     if not plan.response_first or not nugget or isinstance(model, DataFrame):

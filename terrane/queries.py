@@ -17,7 +17,8 @@ from .plans import estimate as fitting
 from .plans import evaluate, laplace
 from .plans.specify import Plan, specify
 from .sources import points
-from .sources.storage import materialise
+from .sources.storage import materialise, shared_dir
+from .streaming.scoring import score_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -887,6 +888,21 @@ def vl_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("loc_id", "is_obs", *[six(c).alias(c) for c in ("mean", "var", "data_mean", "lower", "upper")])
 
 
+@query(
+    f"""WITH {P2}, {GRID_SQL}, n AS (SELECT a.loc_id, b.z, exp(-{D2} / {THETA2[1]}::DOUBLE) AS c, row_number() OVER (PARTITION BY a.loc_id ORDER BY {D2}, b.loc_id) AS k FROM g a, p2 b)
+    SELECT loc_id, round(c * z / {1 + NUGGET}::DOUBLE, 6) + 0 AS mean, round(1 - c * c / {1 + NUGGET}::DOUBLE, 6) AS var FROM n WHERE k = 1"""
+)
+def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid as a stream of files, scored from the nearest observation, a folder for each micro-batch."""
+    p = materialise(points.pts2d(spark, sf_dir))
+    source, out = shared_dir(spark), shared_dir(spark)
+    grid_points(spark).repartition(4).write.parquet(source)
+    stream = spark.readStream.schema("loc_id long, coords array<double>").option("maxFilesPerTrigger", 2).parquet(source)
+    sink = lambda rows, batch_id: rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    score_stream(stream, p, p, THETA2, NUGGET, sink, shared_dir(spark), m=1, once=True).awaitTermination()
+    return spark.read.parquet(out).select("loc_id", (six("mean") + 0.0).alias("mean"), six("var").alias("var"))
+
+
 @query()
 def estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points.pts2d(spark, sf_dir)

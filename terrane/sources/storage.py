@@ -16,10 +16,9 @@ _own: list[str] = []
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """df written below spark.checkpoint.dir and read back. Where that is unset, as in tests, one machine takes a temporary
-    folder; a cluster must set it."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir. Where that is unset, as in tests, one machine takes a temporary folder; a
+    cluster must set it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
@@ -27,7 +26,12 @@ def materialise(df: DataFrame) -> DataFrame:
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="terrane-"))
         root = _own[0]
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
     # The shuffles behind a written table are of no more use: their files go when it is written.
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")

@@ -341,3 +341,24 @@ def test_stream(spark, data, tmp_path):
     want = evaluate.predict(specify(data.points, 10, data.pred, cond_yz="y"), data.values, THETA, TAU).where("not is_obs")
     a, b = ({r["loc_id"]: r["mean"] for r in t.collect()} for t in (got, want))
     assert a == pytest.approx(b)
+
+
+def test_stream_of_independent_predictions(spark, data, tmp_path):
+    """Without a plan's options every location hangs on its nearest observations, whatever the batches."""
+    from terrane.streaming.scoring import score_stream
+
+    data.pred.repartition(3).write.mode("overwrite").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(data.pred.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    sink = lambda rows, k: rows.write.mode("overwrite").parquet(str(tmp_path / f"out/batch={k}"))
+    score_stream(stream, data.points, data.values, THETA, TAU, sink, str(tmp_path / "cp"), m=4, once=True).awaitTermination()
+    got = {r["loc_id"]: (r["mean"], r["var"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    z = {r["loc_id"]: r["z"] for r in data.values.collect()}
+    x = {r["loc_id"]: np.array(r["coords"]) for r in data.points.collect()}
+    for r in data.pred.collect():
+        at = np.array(r["coords"])
+        near = sorted((float(np.sqrt(((x[i] - at) ** 2).sum())), i) for i in x)[:4]
+        own = np.array([x[i] for _, i in near])
+        k = kernel(own, own) + TAU * np.eye(4)
+        c = kernel(at[None], own)[0]
+        want = (c @ np.linalg.solve(k, [z[i] for _, i in near]), 1 - c @ np.linalg.solve(k, c))
+        assert got[r["loc_id"]] == pytest.approx(want)
