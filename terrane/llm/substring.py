@@ -5,7 +5,7 @@
 2. Probe. Every rolling run of BLOCK words is looked up. Both sides travel as sorted packed arrays, one row for a
    hash range and a slice of text, not a row for each word. A hit is a block of a document with a smaller id.
 3. Extend. Around hits, windows that hold the block at any offset are looked up in the same way, by two independent
-   hashes of all their words (126 bits), each made from its own hash of every word's bytes. A window whose sequence
+   hashes of all their words (94 bits), each made from its own hash of every word's bytes. A window whose sequence
    starts in a smaller document goes; consecutive ones make up the maximal exact repeat around the block. The words of
    a repeat are told by these hashes, not fetched from the other document.
 """
@@ -24,7 +24,7 @@ from .common import Words, materialise, mix, shuffle_parts, slices, text_bytes
 WINDOW = 50
 #: Bytes of text whose hashes are packed together: more take fewer bytes for each hash.
 TOGETHER = 4 << 20
-#: Tasks among which the probes of a hash range are dealt (each has the range's index), and text for each task, about.
+#: Tasks among which the probes of a range of blocks are dealt (each has the range's index), and text for each task, about.
 SPREAD, TASK_BYTES = 4, 16 << 20
 
 _U = np.uint64
@@ -55,15 +55,15 @@ def _read_small(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, np.uint16 if packed[0] == 2 else np.uint32, offset=1)
 
 
-def _rows(kind: int, h: np.ndarray, check: np.ndarray | None, doc: np.ndarray, ids: np.ndarray, bits: int, ranges: int) -> list[tuple]:
+def _rows(kind: int, h: np.ndarray, check: np.ndarray | None, doc: np.ndarray, ids: np.ndarray, bits: int, ranges: int, spread: int) -> list[tuple]:
     """Rows (part, kind, hashes, checks, docs, ids) of hashes with the place of their document in ids, by range of the hash.
 
-    A range is a number of parts, SPREAD of them: all get the index, one the probes of these documents.
+    A range is a number of parts, `spread` of them: all get the index, one the probes of these documents.
     """
     if not len(h):
         return []
     if check is None:
-        check = np.zeros(len(h), _U)
+        check = np.zeros(len(h), np.uint32)
     least = ids[doc]
     # The index needs each hash's smallest document only.
     order = np.lexsort((doc if kind else least, check, h))
@@ -72,7 +72,7 @@ def _rows(kind: int, h: np.ndarray, check: np.ndarray | None, doc: np.ndarray, i
     h, check, doc = h[new], check[new], doc[new]
     part = (h >> _U(bits - 32)) * _U(ranges) >> _U(32)
     cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(h)]
-    salt = int(mix(ids[:1].view(_U))[0] % _U(SPREAD))
+    salt = int(mix(ids[:1].view(_U))[0] % _U(spread))
     out = []
     for a, b in zip(cut, cut[1:], strict=False):
         used, place = np.unique(doc[a:b], return_inverse=True)
@@ -81,7 +81,7 @@ def _rows(kind: int, h: np.ndarray, check: np.ndarray | None, doc: np.ndarray, i
         turn = np.empty(len(by), np.int64)
         turn[by] = np.arange(len(by))
         row = (kind, pack(h[a:b]), check[a:b].tobytes() if check.any() else b"", _small(turn[place]), pack(own[by].view(_U)))
-        out += [(int(part[a]) * SPREAD + s, *row) for s in ([salt] if kind else range(SPREAD))]
+        out += [(int(part[a]) * spread + s, *row) for s in ([salt] if kind else range(spread))]
     return out
 
 
@@ -149,15 +149,15 @@ def _lookup(sent: DataFrame, parts: int, bits: int, references: bool) -> DataFra
     another one hits is told so too.
 
     A task holds the index of its hash range (each slice sends a hash once, with its smallest document) and lets the
-    probes stream past, so a hash that a third of all documents have costs time, not memory. Its probes are dealt among
-    SPREAD tasks. parts: as many as text asks for, a multiple of SPREAD.
+    probes stream past, so a hash that a third of all documents have costs time, not memory; the probes of a block are
+    dealt among SPREAD tasks.
     """
     width = (bits + 7) // 8
     dealt = sent.repartition(parts, "part").sortWithinPartitions("part", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, fresh, found = None, [], []
-        h, check, least, used = np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, bool)
+        h, check, least, used = np.zeros(0, _U), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool)
 
         def index() -> None:
             nonlocal h, check, least, used
@@ -174,7 +174,7 @@ def _lookup(sent: DataFrame, parts: int, bits: int, references: bool) -> DataFra
             nonlocal h, check, least, used
             if references and used.any():
                 found.append((least[used], h[used]))
-            h, check, least, used = np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, bool)
+            h, check, least, used = np.zeros(0, _U), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool)
             fresh.clear()
 
         def look(value: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +200,7 @@ def _lookup(sent: DataFrame, parts: int, bits: int, references: bool) -> DataFra
                     close()
                     now = part
                 value, doc = unpack(hashes), unpack(ids).view(np.int64)[_read_small(docs)]
-                wide = np.frombuffer(checks, _U) if checks else np.zeros(len(value), _U)
+                wide = np.frombuffer(checks, np.uint32) if checks else np.zeros(len(value), np.uint32)
                 if not kind:
                     fresh.append((value, wide, doc))
                     if sum(len(x[0]) for x in fresh) > 1 << 20:
@@ -236,7 +236,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A row without doc_id takes no part: it keeps its words and is no reference. Other columns are ignored.
 
     An empty table gives an empty result; a very long text is one document like others and its words are held in one
-    task. A window is known by 126 bits of two independent hashes: of n windows that lie around hits, about n * n / 2**127
+    task. A window is known by 94 bits of two independent hashes: of n windows that lie around hits, about n * n / 2**95
     pairs are taken for equal in error.
     """
     spark = docs.sparkSession
@@ -256,7 +256,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             h >>= _U(64 - bits)
             doc = w.doc[at]
             aligned = (at - w.first[doc]) % block == 0
-            if out := [*_rows(0, h[aligned], None, doc[aligned], ids, bits, ranges), *_rows(1, h, None, doc, ids, bits, ranges)]:
+            if out := [*_rows(0, h[aligned], None, doc[aligned], ids, bits, ranges, SPREAD), *_rows(1, h, None, doc, ids, bits, ranges, SPREAD)]:
                 yield _batch(out)
 
     known = rows.where("doc_id is not null")
@@ -276,8 +276,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             np.add.at(near, hot + 1, -1)
             close = np.cumsum(near)[start] > 0
             h, doc = wide[close] >> _U(2), w.doc[start[close]]
-            check = w.grams(window, w.hashes(seed=1) * _U(0xD6E8FEB86659FD93))[0][close]
-            if out := [*_rows(0, h, check, doc, ids, 62, ranges), *_rows(1, h, check, doc, ids, 62, ranges)]:
+            check = (w.grams(window, w.hashes(seed=1))[0][close] >> _U(32)).astype(np.uint32)
+            if out := [*_rows(0, h, check, doc, ids, 62, parts, 1), *_rows(1, h, check, doc, ids, 62, parts, 1)]:
                 yield _batch(out)
 
     gone = _lookup(held.where("hits is not null").mapInArrow(extend, _SENT), parts, 62, references=False)
