@@ -6,8 +6,9 @@
    share. Sets that are similar enough share a path with a probability that does not depend on their size; the number
    of runs follows from the target recall.
 3. Recursion. Sets with a common path are a bucket. A bucket with more than SMALL sets is split: each of its sets chooses
-   again below the path, REPEATS times, and so on down. A bucket that is not half the size of the one above it holds
-   sets that no path will part; it is compared in blocks, like small ones.
+   again below the path, REPEATS times, and so on down. A bucket whose sets stand in crowded buckets with most of their
+   other paths too, or that is not half the size of the one above it, holds sets that paths don't part: it is compared
+   in blocks, like small ones.
 4. Buckets. Sketches of 128 bytes tell pairs that may be similar; only a spanning forest of them leaves a bucket, so its
    output is linear in its size.
 5. Clusters. Connected sets are compared exactly, in blocks, once for each pair. What leaves is each node's number of
@@ -33,6 +34,9 @@ RECALL = 0.999
 #: Choices below a path, each independent of the others, and levels of paths at most: what is crowded on the last one is
 #: compared in blocks.
 REPEATS, LEVELS = 2, 12
+#: Share of a set's first paths in crowded buckets from which on splitting gives no fewer crowded buckets: below a crowded
+#: path a set has REPEATS / 0.8 choices, of which that share is crowded again.
+SHARED = 0.4
 #: Bins of a sketch, and the share of equal ones that lets a pair go to the exact comparison. With 64 bins a pair of
 #: similarity 0.8 stays below 0.55 once in some 100,000 pairs and path.
 BINS, MAYBE = 64, 0.55
@@ -281,7 +285,13 @@ def similar_documents(docs: DataFrame, words: int = WORDS, least: float = LEAST,
     for depth in range(1, LEVELS + 1):
         crowd = level.groupBy("path").agg(F.count("*").alias("n")).where("n >= 2")
         level = materialise(level.join(crowd, "path"))
-        deeper = (F.col("n") > small) & (F.col("up").isNull() | (2 * F.col("n") <= F.col("up")))
+        deeper = (F.col("n") > small) & (2 * F.col("n") <= F.col("up"))
+        if depth == 1:
+            crowded = level.where(F.col("n") > small)
+            share = crowded.groupBy("node").agg(F.count("*").alias("c")).join(nodes.select("node", F.size("paths").alias("all")), "node")
+            apart = crowded.join(share, "node").groupBy("path").agg(F.avg(F.col("c") / F.col("all")).alias("share")).where(F.col("share") < SHARED)
+            level = level.join(apart.select("path", F.lit(True).alias("apart")), "path", "left")
+            deeper = F.coalesce("apart", F.lit(False))
         below = level.where(deeper)
         if depth == LEVELS or not below.limit(1).count():
             met.append(level)
@@ -317,8 +327,9 @@ def similar_documents(docs: DataFrame, words: int = WORDS, least: float = LEAST,
             yield _edges(found)
 
     cluster = materialise(components(cells.mapInArrow(meet, "a long, b long")))
-    sizes = cluster.groupBy("component").agg(F.count("*").alias("n"))
-    asked = cluster.join(sizes, "component").join(nodes, "node").select("of", "node", "component", "n", "copies")
+    # Only clusters of several blocks need their size.
+    sizes = cluster.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    asked = cluster.join(sizes, "component", "left").withColumn("n", F.coalesce("n", F.lit(1))).join(nodes.select("node", "of", "copies"), "node").select("of", "node", "component", "n", "copies")
 
     def collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
