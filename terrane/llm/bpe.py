@@ -165,7 +165,8 @@ def encoder(file: bytes, pattern: str) -> ByteBPE:
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """doc_id and ids (array of int) of every row of (doc_id, text); a null text is empty and has no ids.
+    """doc_id and ids (array of int) of every row of (doc_id, text); a null text is empty and has no ids. Other columns are
+    ignored, whatever their names.
 
     ranks: the path of a rank file, read by the driver and broadcast; pattern: the split before the merges.
     """
@@ -197,7 +198,7 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encoded, then decoded from the ids, in one pass.
 
     ids_sha256 is the digest of the decimal ids joined by one space. A null text is empty; repeated rows each get
-    their row; other columns are ignored.
+    their row; an empty table gives an empty result; a very long text is encoded whole; other columns are ignored.
     """
     with open(ranks, "rb") as f:
         file = docs.sparkSession.sparkContext.broadcast(f.read())

@@ -131,7 +131,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, group_id (the
     group's smallest doc_id), n_copies (its rows). A null text is empty; empty texts have the digest of no bytes. With one row the next document is the document itself. Repeated
-    rows follow each other.
+    rows follow each other; ties of an id are in order of the text. An empty table gives an empty result; a very long text
+    is digested whole. Other columns are ignored, whatever their names.
     """
 
     groups, mixed = form_groups(docs)

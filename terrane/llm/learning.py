@@ -18,15 +18,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int = ROWS_PER_CLASS) -> tuple[DataFrame, dict[int, float]]:
     """(doc_id, text, label) of at most per_class rows of each class, and the weight of a row of each class.
 
-    Only labels that aren't held out are seen. The rows are those with the smallest hash of their id, so reruns agree.
-    The weights restore the classes' shares among all labels that may be learnt from. The chosen labels are few by
-    construction and broadcast; documents are scanned once.
+    Only labels that aren't held out are seen, and of them 0 and 1; of an id's several labels 1 wins, and a null label or
+    id teaches nothing. The rows are those with the smallest hash of their id, so reruns agree; of documents that share an
+    id the one with the smallest text teaches, so repeated ids don't add rows. Empty tables give no rows. The weights
+    restore the classes' shares among all labels that may be learnt from. The chosen labels are few by construction and
+    broadcast; documents are scanned once.
     """
     known = labels.where(~held_out() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
     share = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     some = [known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     chosen = some[0].unionByName(some[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     total = sum(share.values()) or 1
     return rows, {c: share.get(c, 0) / total / max(1, min(per_class, share.get(c, 0))) for c in (0, 1)}
 

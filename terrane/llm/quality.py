@@ -136,7 +136,8 @@ def fit_network(texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weigh
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = ROWS_PER_CLASS) -> Network:
     """A network for labels (doc_id, label) of documents (doc_id, text), from at most per_class rows of each class.
 
-    Words are numbered where the rows are; their numbers, bounded by the sample, come to the driver.
+    Words are numbered where the rows are; their numbers, bounded by the sample, come to the driver. Without labels of
+    both classes the score is a constant. Other columns are ignored; see training_rows for repeated rows and nulls.
     """
     rows, weights = training_rows(docs, labels, label, per_class)
 
@@ -160,7 +161,8 @@ def score(docs: DataFrame, network: Network, threshold: float = 0.3) -> DataFram
     """doc_id, held_out, score (0 to 1), predicted for every row of (doc_id, text, ...).
 
     Only the text enters the score. A null text counts as empty; a text without words has the score of an empty mean.
-    Repeated rows score alike; other columns are ignored. The model's size is fixed by WORDS, SHAPES and HIDDEN, so it
+    Repeated rows score alike, and a score equal to the threshold is predicted 1; an empty table gives an empty result;
+    a very long text is taken whole, in a step of its own; other columns are ignored. The model's size is fixed by WORDS, SHAPES and HIDDEN, so it
     is broadcast.
     """
     model = docs.sparkSession.sparkContext.broadcast(network)

@@ -210,8 +210,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = ANCHOR, sh
     every row. The texts count as UTF-8 bytes, null as empty; no string crosses documents; strings are judged on the
     input. Texts shorter than the window keep everything. Of repeated rows each is a document of its own, so all their
     windows are repeated. A null doc_id is a document like others. Of the other columns those named in carry come with
-    the result as a struct `others` (each with _ before its name), the rest are ignored. as_text: kept is a string; where a removed string began or ended inside a character,
-    the rest of that character goes too.
+    the result as a struct `others` (each with _ before its name), the rest are ignored. as_text: kept is a string; where a removed string
+    began or ended inside a character, the rest of that character goes too. An empty table gives an empty result; a very
+    long text is one text, whose windows a task holds at once.
     """
     spark = docs.sparkSession
     parts = shuffle_parts(spark)

@@ -133,7 +133,8 @@ _loaded: dict[int, TokenCounter] = {}
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of (doc_id, text), by the tokenizer file at a path.
 
-    A null text counts as empty: 0 bytes and 0 tokens. Repeated rows each get their row; other columns are ignored.
+    A null text counts as empty: 0 bytes and 0 tokens. Repeated rows each get their row, an empty
+    table gives an empty result, a very long text is counted whole; other columns are ignored.
     The file is read by the driver and broadcast: its size is that of a vocabulary, not of the data.
     """
     with open(tokenizer, "rb") as f:

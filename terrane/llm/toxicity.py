@@ -138,7 +138,8 @@ def fit_machine(doc: np.ndarray, term: np.ndarray, y: np.ndarray, row_weight: np
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = ROWS_PER_CLASS) -> Machine:
     """A machine for labels (doc_id, label) of documents (doc_id, text), from at most per_class rows of each class.
 
-    Terms are extracted where the rows are; their numbers, bounded by the sample, come to the driver.
+    Terms are extracted where the rows are; their numbers, bounded by the sample, come to the driver. Without labels of
+    both classes the score is a constant. Other columns are ignored; see training_rows for repeated rows and nulls.
     """
     rows, weights = training_rows(docs, labels, label, per_class)
 
@@ -167,7 +168,8 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.5) -> DataFram
     """doc_id, held_out, score (0 to 1), predicted for every row of (doc_id, text, ...).
 
     Only the text enters the score; a null text counts as empty and has the score of no terms. Repeated rows score
-    alike; other columns are ignored. The model's size is bounded by TERM_BITS, so it is broadcast.
+    alike, and a score equal to the threshold is predicted 1; an empty table gives an empty result; a very long text is
+    taken whole, in a step of its own; other columns are ignored. The model's size is bounded by TERM_BITS, so it is broadcast.
     """
     model = docs.sparkSession.sparkContext.broadcast(machine)
 
