@@ -14,27 +14,31 @@ from terrane.llm.common import materialise, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the toxicity model rejects."""
+    """Drops documents that the toxicity model rejects; a null or empty text has no terms, and the score of none. Repeated
+    rows share their fate; all columns stay as they are."""
     return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of similar ones."""
+    """Keeps one document of each class of similar ones, that of the smallest id (nulls last), one row of it. Texts without
+    words are in no class and all stay."""
     return jaccard_join.one_of_each(docs)
 
 
 def repeated_strings_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts strings of 200 bytes and more that stand in several places."""
+    """Cuts strings of 200 bytes and more that stand in several places; n_chars follows the text. No row goes, emptied ones
+    neither; a null text becomes empty."""
     return suffix_dedup.without_repeats(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as the source mix does."""
+    """Takes each document as often as the source mix does; a null source is one of its own. Texts without words stay once."""
     return mixing.mixed_documents(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes and decodes each text: n_tokens and digests of the ids and of the decoded bytes."""
+    """Encodes and decodes each text, a row for each: n_tokens and digests of the ids and of the decoded bytes; a null text is
+    empty."""
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
