@@ -16,6 +16,8 @@ from .learning import ROWS_PER_CLASS, Adam, held_out, log_loss, sigmoid, trainin
 WORDS, SHAPES, SIZE, REACH = 1 << 16, 512, 64, 2
 HIDDEN, EPOCHS = 32, 60
 STEP = 1 << 20
+#: Words whose neighbours are summed at once.
+TOGETHER = 1 << 21
 
 _U = np.uint64
 #: 1: letters, digits and bytes of other than ASCII characters; 2: other visible characters. A word is of one kind.
@@ -47,23 +49,32 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (h & _U(WORDS - 1)).astype(np.int64), shape * 16 + np.minimum(size, 16) - 1, w.first
 
 
-def index_vectors(n: int, seed: int) -> np.ndarray:
-    """Sparse ternary vectors of unit length: four of SIZE components are not 0."""
+def index_vectors(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse ternary vectors of unit length: the places of the four of SIZE components that are not 0, and their values."""
     rng = np.random.default_rng(seed)
-    out = np.zeros((n, SIZE), np.float32)
     place = np.argsort(rng.random((n, SIZE)), axis=1)[:, :4]
-    np.put_along_axis(out, place, rng.choice(np.float32([-0.5, 0.5]), (n, 4)), 1)
-    return out
+    return place, rng.choice(np.float32([-0.5, 0.5]), (n, 4))
 
 
 def context_vectors(n: int, streams: list[np.ndarray], seed: int) -> np.ndarray:
     """For each word the sum of its own index vector and those of its neighbours, over all streams, of unit length."""
-    index = index_vectors(n, seed)
-    out = index.copy()
-    for s in streams:
+    place, value = index_vectors(n, seed)
+    out = np.zeros((n, SIZE))
+    np.put_along_axis(out, place, value, 1)
+    out = out.ravel()
+    size = np.array([len(s) for s in streams], np.int64)
+    part = np.cumsum(size) // TOGETHER
+    for g in np.unique(part):
+        some = np.flatnonzero(part == g)
+        word = np.concatenate([streams[i] for i in some]).astype(np.int64)
+        text = np.repeat(some, size[some])
         for k in range(1, REACH + 1):
-            np.add.at(out, s[k:], index[s[:-k]])
-            np.add.at(out, s[:-k], index[s[k:]])
+            near = text[k:] == text[:-k]
+            a, b = word[k:][near], word[:-k][near]
+            for x, y in ((a, b), (b, a)):
+                for j in range(4):
+                    out += np.bincount(x * SIZE + place[y, j], value[y, j], n * SIZE)
+    out = out.reshape(n, SIZE).astype(np.float32)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
