@@ -39,14 +39,19 @@ def _solver(k: int, low: list[float], span: list[float], size: float, last: bool
         for s in range(0, len(a), step):
             d = np.sqrt(((x[s : s + step, None] - y[None]) ** 2).sum(-1))
             d[(ids[None] >= before[s : s + step, None]) | (ids[None] == own[s : s + step, None])] = np.inf
-            order = np.argsort(d, axis=1, kind="stable")[:, :k]
-            dist = np.take_along_axis(d, order, 1)
-            kth = dist[:, k - 1] if dist.shape[1] >= k else np.full(len(dist), np.inf)
+            # A partition for the k-th distance; only what isn't beyond it is put in order.
+            kth = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(d), np.inf)
+            r, c = np.nonzero((d <= kth[:, None]) & np.isfinite(d))
+            dist = d[r, c]
+            order = np.lexsort((c, dist, r))
+            r, c, dist = r[order], c[order], dist[order]
+            slot = np.arange(len(r)) - np.searchsorted(r, np.arange(len(d)))[r]
             ok = (kth <= border[s : s + step]) | np.isinf(border[s : s + step])
             if dense:  # all candidates before a query are in sight
                 ok |= np.isfinite(d).sum(1) >= before[s : s + step]
-            r, c = np.nonzero(np.isfinite(dist) & ok[:, None])
-            out.append(pd.DataFrame({"query": own[s + r], "slot": (c + 1).astype(np.int32), "nbr": ids[order[r, c]], "dist": dist[r, c], "done": True}))
+            keep = (slot < k) & ok[r]
+            r, c, dist, slot = r[keep], c[keep], dist[keep], slot[keep]
+            out.append(pd.DataFrame({"query": own[s + r], "slot": (slot + 1).astype(np.int32), "nbr": ids[c], "dist": dist, "done": True}))
             out.append(pd.DataFrame({"query": own[s : s + step][~ok], "slot": np.int32(0), "nbr": np.int64(-1), "dist": 0.0, "done": False}))
         return pd.concat(out)
 
