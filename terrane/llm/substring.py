@@ -24,8 +24,9 @@ from .common import Words, materialise, mix, shuffle_parts, slices, text_bytes
 WINDOW = 50
 #: Bytes of text whose hashes are packed together: more take fewer bytes for each hash.
 TOGETHER = 4 << 20
-#: Tasks among which the probes of a range of blocks are dealt (each has the range's index), and text for each task, about.
-SPREAD, TASK_BYTES = 4, 16 << 20
+#: Tasks among which the probes of a range of blocks are dealt (each has the range's index), text for each task, about, and
+#: tasks at most unless the session asks for more.
+SPREAD, TASK_BYTES, MOST_TASKS = 4, 16 << 20, 1 << 17
 
 _U = np.uint64
 
@@ -245,7 +246,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # Enough bits that a false hit is rare (it only costs a lookup of its windows), and not more to send.
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(60, max(36, int(total // (4 * block) + 1).bit_length() + 14))
-    ranges = -(-max(shuffle_parts(spark), int(total // TASK_BYTES)) // SPREAD)
+    ranges = -(-max(shuffle_parts(spark), min(int(total // TASK_BYTES), MOST_TASKS)) // SPREAD)
     parts = ranges * SPREAD
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
