@@ -33,7 +33,8 @@ def observations(plan: Plan, values: DataFrame, nugget: float | None) -> DataFra
     return values.select("loc_id", F.col("z").cast("double").alias("z"), noise.alias("nugget"))
 
 
-def _rows(p: pd.DataFrame, response_first: bool) -> tuple[pd.DataFrame, Rows]:
+def packed_rows(p: pd.DataFrame, response_first: bool) -> tuple[pd.DataFrame, Rows]:
+    """A task's rows of Plan.packed() in order, and as arrays."""
     p = p.sort_values("pos", ignore_index=True)
     width = int(p["nbr"].map(len).max()) if len(p) else 1
     nbr, on = np.full((len(p), width), -1), np.zeros((len(p), width), bool)
@@ -52,7 +53,7 @@ def run(plan: Plan, values: DataFrame, nugget: float | None, body: Callable[[pd.
     first = plan.response_first
 
     def whole(p: pd.DataFrame) -> pd.DataFrame:
-        p, r = _rows(p, first)
+        p, r = packed_rows(p, first)
         return body(p, r, p["z"].to_numpy(float), p["nugget"].fillna(0.0).to_numpy(float))
 
     return in_one_task(rows, whole, schema)
@@ -341,7 +342,7 @@ def combinations(plan: Plan, values: DataFrame, weights: DataFrame, parameters:
     first = plan.response_first
 
     def body(p: pd.DataFrame) -> pd.DataFrame:
-        p, r = _rows(p, first)
+        p, r = packed_rows(p, first)
         post = Posterior(r, p["z"].to_numpy(float), p["nugget"].fillna(0.0).to_numpy(float), model, parameters)
         triples = [(w["comb_id"], i, w["weight"]) for i, own in enumerate(p["w"]) if own is not None for w in own]
         ids = sorted({t[0] for t in triples})

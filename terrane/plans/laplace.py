@@ -15,8 +15,8 @@ from ..functions.families import Family, check_support, family
 from ..functions.kernels import Model, check
 from ..functions.special import normal_quantile
 from ..functions.conditional import Posterior, Rows
-from ..sources.storage import materialise
-from .evaluate import loglik, predict, run
+from ..sources.storage import in_one_task, materialise
+from .evaluate import loglik, packed_rows, predict
 from .specify import Plan, specify
 
 
@@ -66,10 +66,9 @@ def posterior(plan: Plan, values: DataFrame, name: str | Family, parameters: Seq
         check(model, parameters)
     check_support(values, fam)
     mean = F.col("prior") if "prior" in values.columns else F.lit(float(prior))
-    own = values.select("loc_id", F.col("z").cast("double").alias("z"), mean.cast("double").alias("nugget"))
+    own = values.select("loc_id", F.col("z").cast("double").alias("z"), mean.cast("double").alias("prior"))
     if start is not None:
         own = own.join(start.select("loc_id", "y"), "loc_id", "left")
-    plan_seen = plan
 
     def body(p: pd.DataFrame, rows: Rows, z: np.ndarray, prior_: np.ndarray) -> pd.DataFrame:
         first = p["y"].to_numpy(float) if "y" in p else None
@@ -82,20 +81,13 @@ def posterior(plan: Plan, values: DataFrame, name: str | Family, parameters: Seq
         return pd.DataFrame({"loc_id": p["loc_id"], "is_obs": p["is_obs"], "z": z, "mean": y, "pseudo": t, "noise": d, "prior": prior_, "iterations": k, "converged": done})
 
     schema = "loc_id long, is_obs boolean, z double, mean double, pseudo double, noise double, prior double, iterations long, converged boolean"
-    if start is not None:
-        rows_ = plan_seen.packed().join(own, "loc_id", "left")
-        from ..sources.storage import in_one_task
-        from .evaluate import _rows
-
-        first_ = plan.response_first
+    first_ = plan.response_first
 
-        def whole(p: pd.DataFrame) -> pd.DataFrame:
-            p, r = _rows(p, first_)
-            return body(p, r, p["z"].to_numpy(float), p["nugget"].fillna(0.0).to_numpy(float))
+    def whole(p: pd.DataFrame) -> pd.DataFrame:
+        p, r = packed_rows(p, first_)
+        return body(p, r, p["z"].to_numpy(float), p["prior"].fillna(0.0).to_numpy(float))
 
-        out = materialise(in_one_task(rows_, whole, schema))
-    else:
-        out = materialise(run(plan, own, None, body, schema))
+    out = materialise(in_one_task(plan.packed().join(own, "loc_id", "left"), whole, schema))
     r = out.agg(F.max("iterations").alias("k"), F.min("converged").alias("c")).first()
     table = out.select("loc_id", F.when(~F.isnan("z"), F.col("z")).alias("z"), "is_obs", "mean", F.when(~F.isnan("pseudo"), F.col("pseudo")).alias("pseudo"), "noise", "prior")
     return LaplacePosterior(table, bool(r["c"]), r["k"] or 0, fam, list(parameters), model)
