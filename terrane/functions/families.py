@@ -43,7 +43,7 @@ def _poisson(p: dict) -> Family:
     def columns(y: Column, z: Column) -> dict[str, Column]:
         # Spark has no log gamma: Stirling's series, above 10, for log (z + 10)! less the ten logarithms between.
         x = z + 11.0
-        high = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+        high = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x) - 1 / (1680 * x * x * x * x * x * x * x)
         fact = high
         for k in range(1, 11):
             fact = fact - F.log(z + float(k))
