@@ -1,10 +1,12 @@
-"""Nearest-neighbour joins by grid blocks with growing cells, and conditioning sets made of them."""
+"""Nearest-neighbour joins by grid blocks with growing cells, or by blocks of pairs in many dimensions, and conditioning sets
+made of them."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import materialise
@@ -12,6 +14,9 @@ from ..sources.storage import materialise
 #: Queries that one group of the join holds at most, and candidates that a cell of the first round holds, about.
 QUERIES, CANDIDATES = 2048, 128
 
+#: Coordinates from which the grid prunes nothing, so that all pairs are looked at, and rows of a side of a block of pairs.
+MANY, SIDE = 8, 32768
+
 _OUT = "query long, slot int, nbr long, dist double, done boolean"
 
 
@@ -58,6 +63,95 @@ def _solver(k: int, low: list[float], span: list[float], size: float, last: bool
     return solve
 
 
+def nearest_rows(x: np.ndarray, own: np.ndarray, before: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest rows of y for each row of x, ties to the smaller id: places in x, ids and distances, the nearest first.
+    Those with ids >= before, with ids = own or at no finite distance don't count.
+
+    Matrix products give lower and upper bounds of squared distances, in tiles; a distance is computed by differences where
+    its lower bound isn't beyond the k-th distance so far.
+    """
+    d = x.shape[1]
+    slack = 8 * (d + 8) * np.finfo(float).eps  # of a bound, as a share of |x|^2 + |y|^2
+    with np.errstate(all="ignore"):
+        xx, yy = (x * x).sum(1), (y * y).sum(1)
+    out: list[tuple[np.ndarray, ...]] = []
+    for a in range(0, len(x), 1024):
+        xa, first = x[a : a + 1024], before[a : a + 1024]
+        row, nbr, dist = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        kth = np.full(len(xa), np.inf)
+        for b in range(0, len(y), 4096):
+            yb, at = y[b : b + 4096], ids[b : b + 4096]
+            if not (at.min() < first).any():
+                continue
+            with np.errstate(all="ignore"):
+                g = xa @ yb.T
+                g *= -2
+                low = g + (1 - slack) * yy[b : b + 4096]
+            low[at[None] == own[a : a + 1024, None]] = np.inf
+            if (at.max() >= first).any():
+                low[at[None] >= first[:, None]] = np.inf
+            np.copyto(low, np.inf, where=np.isnan(low))
+            with np.errstate(all="ignore"):
+                most = kth * kth * (1 + slack)
+                new = np.flatnonzero(np.isinf(kth))
+                if len(new) and low.shape[1] >= k:
+                    high = low[new] + 2 * slack * yy[b : b + 4096]
+                    high[~np.isfinite(high)] = np.inf
+                    most[new] = np.maximum(np.partition(high, k - 1, axis=1)[:, k - 1] + (1 + slack) * xx[a : a + 1024][new], 0) * (1 + slack)
+                r, c = np.nonzero((low <= (most - (1 - slack) * xx[a : a + 1024])[:, None]) & (low < np.inf))
+            if not len(r):
+                continue
+            far = np.concatenate([np.sqrt(((xa[r[s : s + 65536]] - yb[c[s : s + 65536]]) ** 2).sum(1)) for s in range(0, len(r), 65536)])
+            ok = np.isfinite(far)
+            row, nbr, dist = np.r_[row, r[ok]], np.r_[nbr, at[c[ok]]], np.r_[dist, far[ok]]
+            order = np.lexsort((nbr, dist, row))
+            row, nbr, dist = row[order], nbr[order], dist[order]
+            slot = np.arange(len(row)) - np.searchsorted(row, np.arange(len(xa)))[row]
+            keep = slot < k
+            kth[row[slot == k - 1]] = dist[slot == k - 1]
+            row, nbr, dist = row[keep], nbr[keep], dist[keep]
+        out.append((a + row, nbr, dist))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(o) for o in zip(*out, strict=True))
+
+
+def _array(column: pa.ChunkedArray, d: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
+
+
+def _all_pairs(queries: DataFrame, candidates: DataFrame, k: int, dense: bool, n: int, d: int) -> DataFrame:
+    """nearest by all pairs: blocks of queries meet blocks of candidates, a task holds one of each, and the k nearest of
+    each block are merged. Work is quadratic, memory isn't: a row moves once for each block of the other side. dense: blocks
+    are ranges of ids, and those of candidates after all queries of a block aren't met."""
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    side = max(1, -(-n // SIDE), min(int(np.ceil((4 * cores) ** 0.5)), n // 1024))
+
+    def block(c: str):
+        if dense:
+            return F.least(F.floor(F.col(c) * F.lit(side) / F.lit(n)), F.lit(side - 1)).cast("int")
+        return F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
+
+    # Queries of a dense numbering meet the candidates before them only.
+    others = F.sequence(F.lit(0), F.least(block("before"), F.lit(side - 1)) if dense else F.lit(side - 1))
+    q = queries.select(block("before" if dense else "query").alias("i"), F.explode(others).alias("j"), "query", "coords", "before")
+    meet = F.sequence(F.col("j"), F.lit(side - 1)) if dense else F.sequence(F.lit(0), F.lit(side - 1))
+    c = candidates.select(block("nbr").alias("j"), "nbr", "coords").select(F.explode(meet).alias("i"), "j", "nbr", F.col("coords").alias("place"))
+
+    def solve(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"query": pa.array([], pa.int64()), "nbr": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
+        b = b.sort_by("nbr")
+        own, ids = a["query"].to_numpy(), b["nbr"].to_numpy()
+        before = a["before"].combine_chunks().fill_null(np.iinfo(np.int64).max).to_numpy()
+        row, nbr, dist = nearest_rows(_array(a["coords"], d), own, before, _array(b["place"], d), ids, k)
+        return pa.table({"query": own[row], "nbr": nbr, "dist": dist})
+
+    found = q.groupBy("i", "j").cogroup(c.groupBy("i", "j")).applyInArrow(solve, "query long, nbr long, dist double")
+    slot = F.row_number().over(Window.partitionBy("query").orderBy("dist", "nbr"))
+    return found.withColumn("slot", slot).where(F.col("slot") <= k).select("query", "slot", "nbr", "dist")
+
+
 def nearest(queries: DataFrame, candidates: DataFrame, k: int, dense: bool = False) -> DataFrame:
     """query, slot (from 1), nbr, dist: the k nearest candidates of each query, ties to the smaller nbr.
 
@@ -67,12 +161,15 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, dense: bool = Fal
 
     The plane of the first two coordinates is cut into cells. A query sees the 3 x 3 cells around its own; it is done if
     its k-th distance is not beyond the border of those (or nothing lies beyond). The others get cells four times as
-    large, so all work is an equi-join on cells. Crowded cells are dealt to several groups by query.
+    large, so all work is an equi-join on cells. Crowded cells are dealt to several groups by query. From MANY coordinates
+    on all pairs are looked at.
     """
     if k < 1:
         return queries.sparkSession.createDataFrame([], "query long, slot int, nbr long, dist double")
-    box = candidates.agg(F.count("*").alias("n"), *[f(F.try_element_at("coords", F.lit(i))).alias(f"{s}{i}") for i in (1, 2) for s, f in (("a", F.min), ("b", F.max))]).first()
+    box = candidates.agg(F.count("*").alias("n"), F.max(F.size("coords")).alias("d"), *[f(F.try_element_at("coords", F.lit(i))).alias(f"{s}{i}") for i in (1, 2) for s, f in (("a", F.min), ("b", F.max))]).first()
     n = box["n"]
+    if n and box["d"] >= MANY:
+        return _all_pairs(queries, candidates, k, dense, n, box["d"])
     dims = [i for i in (1, 2) if box[f"a{i}"] is not None]
     low = [box[f"a{i}"] for i in dims]
     span = [max(box[f"b{i}"] - box[f"a{i}"], 1e-12) for i in dims]

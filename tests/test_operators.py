@@ -137,6 +137,28 @@ def test_plain_and_query_neighbors(spark, cloud):
         assert got[k] == np.argsort(np.sqrt(((cloud - q[k]) ** 2).sum(1)), kind="stable")[:3].tolist()
 
 
+@pytest.mark.parametrize("d", [9, 64])
+def test_neighbors_in_many_dimensions(spark, monkeypatch, d):
+    """Blocks of pairs, with ties, copies, far points and one without a finite place."""
+    monkeypatch.setattr(neighbors, "SIDE", 64)
+    rng = np.random.default_rng(d)
+    x = np.vstack([np.round(rng.normal(size=(150, d))), np.repeat(rng.normal(size=(1, d)), 60, 0), rng.normal(size=(40, d)) * 1e6])
+    o = frame(spark, x)
+    plain, before = {}, sets_of(neighbors.ordered_neighbors(o.withColumnRenamed("loc_id", "pos"), 4))
+    for r in neighbors.plain_neighbors(o, 6).orderBy("query", "slot").collect():
+        plain.setdefault(r["query"], []).append((r["nbr"], r["dist"]))
+    for k in range(len(x)):
+        dist = np.sqrt(((x - x[k]) ** 2).sum(1))
+        assert before[k] == [k, *np.argsort(dist[:k], kind="stable")[:4].tolist()]
+        dist[k] = np.inf
+        want = np.argsort(dist, kind="stable")[:6]
+        assert [n for n, _ in plain[k]] == want.tolist()
+        assert [v for _, v in plain[k]] == dist[want].tolist()
+    x[5, 2] = np.nan
+    row, nbr, _ = neighbors.nearest_rows(x, np.arange(len(x)), np.full(len(x), len(x)), x, np.arange(len(x)), 3)
+    assert 5 not in row and 5 not in nbr and (np.bincount(row) == 3).sum() == len(x) - 1
+
+
 def test_other_sets(spark, cloud):
     o = frame(spark, cloud[:12]).withColumnRenamed("loc_id", "pos")
     assert sets_of(neighbors.first_neighbors(o, 3))[7] == [7, 2, 1, 0]
