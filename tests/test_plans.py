@@ -172,6 +172,42 @@ def test_lower_factor(data):
     assert np.allclose(np.triu(low[np.ix_(ids, ids)], 1), 0)
 
 
+def test_latent_inverse_of_a_forest(spark, monkeypatch):
+    """Blocks of positions, and locations that repeat."""
+    monkeypatch.setattr(evaluate, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    x = rng.random((60, 2))
+    x[40:45] = x[:5]
+    points = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "loc_id long, coords array<double>")
+    plan = specify(points, 1, order="none", cond_yz="y")
+    cov = np.zeros((60, 60))
+    pattern = set()
+    for k in range(60):  # each value is its nearest earlier one's times c, and independent noise
+        cov[k, k] = 1.0
+        if k:
+            d = np.sqrt(((x[:k] - x[k]) ** 2).sum(1))
+            up = int(np.argmin(d))
+            pattern.add((up, k))
+            cov[k, :k] = cov[:k, k] = np.exp(-d[up] / 0.3) * cov[up, :k]
+    got = {(r["row"], r["col"]): r["value"] for r in evaluate.latent_inverse(plan, THETA).collect()}
+    assert set(got) == pattern | {(k, k) for k in range(60)}
+    assert all(v == pytest.approx(cov[i], abs=1e-12) for i, v in got.items())
+    with pytest.raises(ValueError, match="rule y"):
+        evaluate.latent_inverse(specify(points, 1, order="none", cond_yz="z"), THETA)
+
+
+def test_forms_of_entries(spark, data):
+    plan = specify(data.points, 5, order="none", cond_yz="y")
+    factor, limit, regression = ({(r["pos"], r["slot"]): r["value"] for r in evaluate.u_entries(plan, THETA, 0.0, form=f).collect()} for f in ("factor", "limit", "regression"))
+    assert limit == pytest.approx(factor, rel=1e-9)
+    for (pos, slot), v in factor.items():
+        own = factor[pos, 0]
+        assert regression[pos, slot] == pytest.approx(-v / own if slot else 1 / own**2, rel=1e-9)
+    twice = spark.createDataFrame([(i, [float(v)]) for i, v in enumerate([0.0, 0.2, 0.2, 0.2, 0.5])], "loc_id long, coords array<double>")
+    got = evaluate.u_entries(specify(twice, 3, cond_yz="y"), THETA, 0.0, form="regression").where("pos = 3").orderBy("slot").collect()
+    assert [r["value"] for r in got] == pytest.approx([0, 1, 0, 0], abs=1e-12)
+
+
 def test_precision_and_selected_inverse(data):
     plan = specify(data.points, N - 1, cond_yz="y")
     ids = [r["loc_id"] for r in plan.ordered.orderBy("pos").collect()]

@@ -61,6 +61,16 @@ def test_sql_agrees_on_zeros(spark, odd, name):
     assert got == exact(want.columns, want.fetchall()) and len(got) in (1, 60)
 
 
+@pytest.mark.parametrize("name", ["w_matrix", "selected_inverse"])
+def test_sql_agrees_on_events_at_one_time(spark, tmp_path, name):
+    c = duckdb.connect()
+    c.sql(f"CREATE TABLE events AS SELECT * FROM '{SF}/events.parquet' WHERE event_id < 60")
+    c.sql("UPDATE events SET ts = (SELECT ts FROM events WHERE event_id = 5) WHERE event_id IN (9, 20)")
+    c.sql(f"COPY events TO '{tmp_path}/events.parquet'")
+    got, want = rows(core.QUERIES[name](spark, str(tmp_path)).toPandas()), rows(c.sql(core.ORACLE_SQL[name]).df())
+    assert got == want and len(got) == 119
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
