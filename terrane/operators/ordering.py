@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,10 +46,29 @@ def by_distance(points: DataFrame, loc0: Sequence[float], lonlat: bool = False,
 
 
 def center(points: DataFrame, lonlat: bool = False) -> list[float]:
-    """The mean of each coordinate, of points of the unit sphere with lonlat."""
+    """The mean of each coordinate, of points of the unit sphere with lonlat. Sums are exact: on a regular grid the last bit of
+    the mean decides between places at one distance, and it mustn't hang on the order of rows."""
     c = lonlat_xyz(F.col("coords")) if lonlat else F.col("coords")
-    rows = points.select(F.posexplode(c).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()
-    return [r["m"] for r in rows]  # one number a dimension
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, parts = 0, []
+        for b in batches:
+            if b.num_rows:
+                x = np.asarray(b.column("c").flatten()).reshape(b.num_rows, -1)
+                n, parts = n + b.num_rows, [expansion([*own, *x[:, i].tolist()]) for i, own in enumerate(parts or [[]] * x.shape[1])]
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([parts], pa.list_(pa.list_(pa.float64())))], ["n", "parts"])
+
+    rows = [r for r in points.select(c.alias("c")).mapInArrow(sums, "n long, parts array<array<double>>").collect() if r["n"]]
+    n = sum(r["n"] for r in rows)  # a few numbers a task and dimension
+    return [math.fsum(v for r in rows for v in r["parts"][i]) / n for i in range(len(rows[0]["parts"]) if rows else 0)]
+
+
+def expansion(values: list[float]) -> list[float]:
+    """A few doubles whose exact sum is that of the values."""
+    out: list[float] = []
+    while (rest := math.fsum([*values, *(-s for s in out)])) and math.isfinite(rest):
+        out.append(rest)
+    return out if math.isfinite(rest) else [rest]
 
 
 def middle_out(points: DataFrame, lonlat: bool = False, outside_in: bool = False) -> DataFrame:

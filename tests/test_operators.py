@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +88,15 @@ def test_maxmin_with_predictions(spark, cloud):
     assert ordering.maxmin_places(x, 0).tolist() == greedy(x) == ordering.maxmin_places(x, 900).tolist()
 
 
+def test_center_is_exact(spark):
+    x = np.r_[[1e16, 1.0, -1e16, 3.0], np.random.default_rng(0).random(500)].reshape(-1, 1) * [1.0, 0.1]
+    want = [math.fsum(x[:, i]) / len(x) for i in (0, 1)]
+    for parts in (1, 3, 7):
+        p = frame(spark, x)
+        assert ordering.center(p.repartition(parts, F.xxhash64("loc_id"))) == want
+        assert ordering.center(p.where("loc_id < 0").repartition(parts)) == []
+
+
 def test_rotation(spark):
     x = np.arange(20.0)[:, None]
     o = ordering.by_coordinate(frame(spark, x))
